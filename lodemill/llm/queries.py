@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import op9_mixing
 from .near_dup import op3_near_dup
+from .packing import op7_best_fit_packing
 from .quality_rules import op10_quality_rules
+from .token_files import op8_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dup": op3_near_dup,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_token_files": op8_token_files,
+    "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 
