@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op2_ann_graph
 from .mixing import op9_mixing
 from .near_dup import op3_near_dup
 from .packing import op7_best_fit_packing
 from .quality_rules import op10_quality_rules
 from .token_files import op8_token_files
+from .warc import op1_warc_salvage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_salvage": op1_warc_salvage,
+    "op2_ann_graph": op2_ann_graph,
     "op3_near_dup": op3_near_dup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_files": op8_token_files,
