@@ -11,13 +11,10 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
-import regex
 
-#: The pattern of byte-level BPE pre-tokens: a fixed value.
-_PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _AWKWARD = re.compile(r"\s\s")
 
 
@@ -28,83 +25,77 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Ids of texts; keeps the ids of up to ``most`` distinct pieces, then starts anew."""
+    """Ids of texts; keeps the ids of about ``most`` distinct pieces, then starts anew.
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    Texts of ``long`` characters or more are encoded by the library as they are.
+    """
+
+    def __init__(self, path: str, most: int = 700_000, long: int = 1 << 22):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.most = most
+        self.most, self.long = most, long
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.known: dict[str, list[int]] = {}  # ids of pre-tokens
         self.flat, self.used = np.empty(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32), 0
-        self.lo, self.size, self.n = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32), 0
+        self.lo, self.size, self.n = np.empty(1 << 14, np.int32), np.empty(1 << 14, np.uint16), 0
 
     def _learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces, put together from those of their pre-tokens."""
-        known = self.known
-        cut = [_PRE.findall(p) for p in pieces]
-        fresh = list({w: None for c in cut for w in c if w not in known})
-        for k in range(0, len(fresh), 8192):
-            part = fresh[k : k + 8192]
-            known.update(zip(part, [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]))
-        got = [known[c[0]] if len(c) == 1 else [i for w in c for i in known[w]] for c in cut]
-        sizes = np.fromiter(map(len, got), np.int32, len(got))
-        ids = np.fromiter(chain.from_iterable(got), self.flat.dtype, int(sizes.sum()))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-        while self.n + len(got) > len(self.lo):
-            self.lo, self.size = np.concatenate((self.lo, self.lo)), np.concatenate((self.size, self.size))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.lo[self.n : self.n + len(got)] = self.used + np.cumsum(sizes) - sizes
-        self.size[self.n : self.n + len(got)] = sizes
-        self.place.update(zip(pieces, range(self.n, self.n + len(pieces))))
-        self.used += len(ids)
-        self.n += len(got)
+        for k in range(0, len(pieces), 8192):
+            part = pieces[k : k + 8192]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            ids = np.fromiter(chain.from_iterable(got), self.flat.dtype, int(sizes.sum()))
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+            while self.n + len(got) > len(self.lo):
+                self.lo, self.size = np.concatenate((self.lo, self.lo)), np.concatenate((self.size, self.size))
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.lo[self.n : self.n + len(got)] = self.used + np.cumsum(sizes) - sizes
+            self.size[self.n : self.n + len(got)] = sizes
+            self.place.update(zip(part, range(self.n, self.n + len(part))))
+            self.used += len(ids)
+            self.n += len(got)
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts as uint32, offsets); ``end`` is appended to each text."""
         if self.n > self.most:
             self._clear()
-        parts: list[list[str] | None] = []
-        place = self.place
-        fresh: dict[str, None] = {}
-        for t in texts:
-            if not t:
-                parts.append([])
-                continue
-            if _AWKWARD.search(t):
-                parts.append(None)
-                continue
-            words = t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in t else [t]
-            if not words[0] or not words[-1]:
-                words = [w for w in words if w]
-            parts.append(words)
-            fresh.update(dict.fromkeys(w for w in words if w not in place))
-        if fresh:
-            self._learn(list(fresh))
-        whole = [t for t, p in zip(texts, parts) if p is None]
-        whole = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)) if whole else iter(())
-        out, size = [], []
         tail = np.array([] if end is None else [end], np.uint32)
-        for p in parts:
-            if p is None:
-                ids = np.array(next(whole).ids, np.uint32)
-            elif p:
-                at = np.fromiter(map(place.__getitem__, p), np.int64, len(p))
-                n = self.size[at].astype(np.int64)
-                last = np.cumsum(n)
-                ids = self.flat[np.repeat(self.lo[at] - last + n, n) + np.arange(int(last[-1]))].astype(np.uint32)
+        plain = [bool(t) and len(t) < self.long and "\0" not in t and not _AWKWARD.search(t) for t in texts]
+        other = [t for t, p in zip(texts, plain) if t and not p]
+        other = iter(self.tokenizer.encode_batch_fast(other, add_special_tokens=False)) if other else iter(())
+        pieces, count = [], []
+        for t, p in zip(texts, plain):
+            if p:
+                words = t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+                pieces += words
+                count.append(len(words))
+        at = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            self._learn(list(dict.fromkeys(pieces[i] for i in new.tolist())))
+            at[new] = [self.place[pieces[i]] for i in new.tolist()]
+        n = self.size[at].astype(np.int32)
+        last = np.cumsum(n, dtype=np.int64)
+        total = int(last[-1]) if len(last) else 0
+        shift = self.lo[at] - (last - n).astype(np.int32)
+        ids = self.flat[np.repeat(shift, n) + np.arange(total, dtype=np.int32)]
+        stop = np.concatenate(([0], last))[np.cumsum([0, *count])].tolist()
+        out, size, k = [], [], 0
+        for t, p in zip(texts, plain):
+            if p:
+                own = ids[stop[k] : stop[k + 1]]
+                k += 1
             else:
-                ids = tail[:0]
-            out += [ids, tail]
-            size.append(len(ids) + len(tail))
-        return (np.concatenate(out) if out else tail[:0]), np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+                own = np.array(next(other).ids, np.uint32) if t else tail[:0]
+            out += [own, tail]
+            size.append(len(own) + len(tail))
+        return (np.concatenate(out).astype(np.uint32) if out else tail[:0]), np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
 
 
 _encoders: dict[str, Encoder] = {}
