@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op2_ann_graph
+from .lm_mixing import op4_lm_mixing
 from .mixing import op9_mixing
 from .near_dup import op3_near_dup
 from .packing import op7_best_fit_packing
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_salvage": op1_warc_salvage,
     "op2_ann_graph": op2_ann_graph,
     "op3_near_dup": op3_near_dup,
+    "op4_lm_mixing": op4_lm_mixing,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_files": op8_token_files,

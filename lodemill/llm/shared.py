@@ -132,16 +132,16 @@ def span_hashes(b: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
-def word_spans(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(b: np.ndarray, off: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of a block of texts, and the first word of each text.
 
-    A word is a run of bytes other than 0x20 and 0x09-0x0D; it never crosses texts.
+    A word is a run of bytes other than those in ``white`` (0x20 and 0x09-0x0D); it never crosses texts.
     """
     n = len(b)
     if n == 0:
         zero = np.zeros(0, np.int64)
         return zero, zero, np.zeros(len(off), np.int64)
-    inside = ~WHITE[b]
+    inside = ~white[b]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     before = np.empty(n, bool)
