@@ -12,6 +12,7 @@ from .mixing import op9_mixing
 from .near_dup import op3_near_dup
 from .packing import op7_best_fit_packing
 from .quality_rules import op10_quality_rules
+from .site_classifier import op5_site_classifier
 from .suffix_dedup import op6_suffix_dedup
 from .token_files import op8_token_files
 from .warc import op1_warc_salvage
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ann_graph": op2_ann_graph,
     "op3_near_dup": op3_near_dup,
     "op4_lm_mixing": op4_lm_mixing,
+    "op5_site_classifier": op5_site_classifier,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_files": op8_token_files,
