@@ -99,13 +99,17 @@ def mixed(docs: DataFrame, seed: int = 42, weights=WEIGHTS, share: float = SHARE
     ship(spark)
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     key = F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))
-    rows = cut(docs.select(*keep, F.col("source").alias("_source"), size.alias("size"), key.alias("_h")).withColumn("_b", F.pmod("_h", F.lit(BUCKETS))))
-    totals = sorted(((r[0], r[1]) for r in rows.groupBy("_source").agg(F.sum("size")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
+    rows = docs.select(*keep, F.col("source").alias("_source"), size.alias("size"), key.alias("_h")).withColumn("_b", F.pmod("_h", F.lit(BUCKETS)))
+    if "text" in keep:  # texts stay out of the checkpoint
+        light = cut(rows.select("_source", "size", "_b"))
+    else:
+        light = rows = cut(rows)
+    totals = sorted(((r[0], r[1]) for r in light.groupBy("_source").agg(F.sum("size")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [n for _, n in totals]
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), most)
     shares = spark.createDataFrame([(s, n, t) for (s, n), t in zip(totals, targets)], "_source string, source_size long, target double")
 
-    cells = rows.groupBy("_source", "size", "_b").agg(F.count("*").alias("n"))
+    cells = light.groupBy("_source", "size", "_b").agg(F.count("*").alias("n"))
     lengths = cells.groupBy("_source", "size").agg(F.sum("n").alias("n"))
     plan = lengths.join(F.broadcast(shares), lengths["_source"].eqNullSafe(shares["_source"])).drop(shares["_source"])
 
