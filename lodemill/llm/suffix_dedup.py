@@ -15,7 +15,8 @@ doc_id. Texts never travel whole to find such strings:
 
 Bounds: an anchor in over HOT documents of a batch is sent once for them, and its strings are then
 dealt one by one by their own hash, so what any task gathers for one string is a row from each batch.
-Of equal passages in a batch only the smallest document's is compared: the others lose it in any case.
+Of equal passages in a batch or shard only the smallest document's is compared: the others lose it in
+any case; and a shard leaves out the passages that alone have their anchor.
 
 Defined results: a null text is empty; rows that share a doc_id do not repeat one another; a null
 doc_id takes no part and its text stays whole; repeated rows lose alike; an empty table gives no
@@ -37,6 +38,8 @@ LENGTH, GRAM = 50, 20
 HOT = 256
 #: Text bytes hashed together, and passage bytes of one suffix array.
 SLICE, ARRAY = 1 << 18, 1 << 20
+#: Text bytes among which a task drops copies before it sends.
+BATCH = 16 << 20
 
 
 # ------------------------------------------------------------------------------------------ anchors
@@ -81,6 +84,13 @@ def _unplaned(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
+def pieces_of(batch: pa.RecordBatch, column: int):
+    """Slices of a batch with at most BATCH bytes of text (or one row)."""
+    _, off = utf8(batch.column(column))
+    for i, j in blocks(off, BATCH):
+        yield batch.slice(i, j - i)
+
+
 def _batch_anchors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (hash, doc_id) of a batch (doc_id, text), by hash."""
     doc = batch.column(0).to_numpy(zero_copy_only=False)
@@ -117,7 +127,7 @@ def shared_anchors(docs: DataFrame, hot: int = HOT) -> DataFrame:
     names = ["r", "h", "doc", "hot"]
 
     def send(batches):
-        for k, batch in enumerate(batches):
+        for k, batch in enumerate(p for whole in batches for p in pieces_of(whole, 1)):
             h, d = _batch_anchors(batch)
             first, count = _runs(h)
             loud = np.repeat(count > hot, count)
@@ -252,11 +262,11 @@ def lost_strings(t: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _passages(batch: pa.RecordBatch):
-    """(key, doc_id, start in the text, bytes, offsets) of the passages of a batch (doc_id, text, cold, hot)."""
+    """(key, doc_id, start in the text, hash, bytes, offsets) of the passages of a batch (doc_id, text, cold, hot)."""
     doc = batch.column(0).to_numpy(zero_copy_only=False)
     b, off = utf8(batch.column(1))
     want = [(c.values.to_numpy(zero_copy_only=False).view(np.uint64) if len(c.values) else np.zeros(0, np.uint64), c.offsets.to_numpy()) for c in (batch.column(2), batch.column(3))]
-    keys, docs_, starts, texts = [], [], [], []
+    keys, docs_, starts, same, texts = [], [], [], [], []
     for i, j in blocks(off, SLICE):
         base = off[i]
         part = b[base : off[j]]
@@ -279,11 +289,12 @@ def _passages(batch: pa.RecordBatch):
         keys.append(key)
         docs_.append(doc[i + t])
         starts.append(lo + base - off[i + t])
+        same.append(mix(span_hashes(part, lo, hi) + key))
         texts.append((part[ragged(part, lo, hi - lo)], hi - lo))
     if not keys:
         return None
     size = np.concatenate([x[1] for x in texts])
-    return np.concatenate(keys), np.concatenate(docs_).astype(np.int64), np.concatenate(starts), np.concatenate([x[0] for x in texts]), np.concatenate(([0], np.cumsum(size)))
+    return np.concatenate(keys), np.concatenate(docs_).astype(np.int64), np.concatenate(starts), np.concatenate(same), np.concatenate([x[0] for x in texts]), np.concatenate(([0], np.cumsum(size)))
 
 
 def lost_spans(docs: DataFrame, shared: DataFrame) -> DataFrame:
@@ -292,18 +303,17 @@ def lost_spans(docs: DataFrame, shared: DataFrame) -> DataFrame:
     names = ["r", "key", "doc", "start", "size", "bytes"]
 
     def send(batches):
-        for k, batch in enumerate(batches):
+        for k, batch in enumerate(p for whole in batches for p in pieces_of(whole, 1)):
             got = _passages(batch)
             if got is None or not len(got[0]):
                 continue
-            key, doc, start, raw, off = got
+            key, doc, start, same, raw, off = got
             size = np.diff(off)
-            same = mix(span_hashes(raw, off[:-1], off[1:]) + key)
             order = np.lexsort((start, doc, same))
             first = np.concatenate(([True], same[order][1:] != same[order][:-1]))
             low = doc[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
             gone = order[doc[order] > low]  # copies of a passage of a smaller document of this batch
-            kept = order[first]
+            kept = order[doc[order] == low]
             kept = kept[np.argsort(key[kept], kind="stable")]
             rows = []
             if len(gone):
@@ -341,18 +351,34 @@ def lost_spans(docs: DataFrame, shared: DataFrame) -> DataFrame:
         for e, z in enumerate(edges):  # whole keys, up to ARRAY bytes at a time
             if e + 1 < len(edges) and bytes_to[edges[e + 1] - 1] - (bytes_to[a - 1] if a else 0) <= ARRAY:
                 continue
-            n = size[a:z]
+            n, d, at = size[a:z], doc[a:z], start[a:z]
+            t = raw[ragged(raw, off[a:z], n)]
+            end_of = np.cumsum(n)
+            same = mix(span_hashes(t, end_of - n, end_of) + key[a:z])
+            order = np.lexsort((d, same))
+            new = np.concatenate(([True], same[order][1:] != same[order][:-1]))
+            low = np.empty(z - a, np.int64)
+            low[order] = d[order][np.maximum.accumulate(np.where(new, np.arange(z - a), 0))]
+            gone = d > low  # copies, byte for byte, of a passage of a smaller document
+            out.append((d[gone], at[gone], at[gone] + n[gone]))
+            kinds = key[a:z][order[new]]  # of an anchor with one passage nothing else can be lost
+            kinds, times = np.unique(kinds, return_counts=True)
+            left = np.flatnonzero(~gone & (times[np.searchsorted(kinds, key[a:z])] > 1))
+            a = z
+            if not len(left):
+                continue
+            t = t[ragged(t, (end_of - n)[left], n[left])]
+            n, d, at = n[left], d[left], at[left]
             end_of = np.cumsum(n)
-            lost = lost_strings(raw[ragged(raw, off[a:z], n)], np.repeat(end_of, n), np.repeat(doc[a:z], n))
-            row = np.repeat(np.arange(z - a), n)
+            lost = lost_strings(t, np.repeat(end_of, n), np.repeat(d, n))
+            row = np.repeat(np.arange(len(left)), n)
             hit = np.flatnonzero(lost)
             if len(hit):
                 new = np.flatnonzero(np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (row[hit][1:] != row[hit][:-1]))))
                 last = hit[np.concatenate((new[1:], [len(hit)])) - 1]
                 r = row[hit[new]]
-                shift = start[a:z][r] - (end_of - n)[r]
-                out.append((doc[a:z][r], hit[new] + shift, last + shift + LENGTH))
-            a = z
+                shift = at[r] - (end_of - n)[r]
+                out.append((d[r], hit[new] + shift, last + shift + LENGTH))
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
         return pa.table(dict(zip(("doc_id", "lo", "hi"), cols)))
 
