@@ -86,7 +86,8 @@ def point_pairs(points: DataFrame, id_: str, axes: list[str], radius: float) ->
     b = points.select(F.col(id_).alias("b_id"), *(F.col(x).alias(f"b_{x}") for x in axes))
     for x in axes:
         a = a.withColumn(f"_{x}", cell(f"a_{x}", radius))
-        b = b.withColumn(f"_{x}", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d, x=x: cell(f"b_{x}", radius) + d)))
+        at = cell(f"b_{x}", radius)
+        b = b.withColumn(f"_{x}", F.explode(F.array(at - 1, at, at + 1)))
     out = a.join(b, [f"_{x}" for x in axes]).where("a_id < b_id")
     d = F.sqrt(reduce(lambda p, q: p + q, [(F.col(f"a_{x}") - F.col(f"b_{x}")) ** 2 for x in axes]))
     return out.withColumn("distance", d).where(F.col("distance") <= radius).select("a_id", "b_id", "distance")
