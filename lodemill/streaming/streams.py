@@ -28,7 +28,7 @@ def prepared(df: DataFrame, ids: str, pad_id: int = 0) -> DataFrame:
 
 def tumbling(events: DataFrame, ts: str, key: str, value: str, width: str, late: str = "10 minutes") -> DataFrame:
     """Counts and sums by event-time window and key; works on streams and tables alike."""
-    w = F.window(ts, width)
+    events, w = events.withColumn(ts, F.col(ts).cast("timestamp")), F.window(ts, width)
     return events.withWatermark(ts, late).groupBy(w, key).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), key, "n", "total")
 
 
