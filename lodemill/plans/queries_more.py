@@ -73,9 +73,9 @@ def q_nucleus(spark, sf_dir):
 
 
 @query("q_spacing", """
-SELECT o_custkey, count(*) AS n, round(avg(g), 1) AS spacing, coalesce(stddev_pop(g) < 20000, false) AS regular FROM (SELECT o_custkey, o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice) AS g FROM orders) GROUP BY o_custkey""")
+SELECT o_custkey, count(*) AS n, CAST(floor(avg(g) / 100) AS BIGINT) AS spacing, coalesce(stddev_pop(g) < 20000, false) AS regular FROM (SELECT o_custkey, o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice) AS g FROM orders) GROUP BY o_custkey""")
 def q_spacing(spark, sf_dir):
-    return assembly.spacing(T(spark, sf_dir, "orders").select("o_custkey", "o_totalprice"), ["o_custkey"], "o_totalprice", 20000.0).withColumn("spacing", F.round("spacing", 1))
+    return assembly.spacing(T(spark, sf_dir, "orders").select("o_custkey", "o_totalprice"), ["o_custkey"], "o_totalprice", 20000.0).withColumn("spacing", F.floor(F.col("spacing") / 100))
 
 
 @query("q_rule_violations", """
