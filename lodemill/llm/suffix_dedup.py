@@ -395,15 +395,18 @@ def union_spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return lo[new], top[np.concatenate((np.flatnonzero(new)[1:], [len(lo)])) - 1]
 
 
-def with_spans(docs: DataFrame, keep: list[str] | None = None, hot: int = HOT) -> DataFrame:
-    """The rows of ``docs`` with ``removed``, the maximal byte spans [lo, hi) that leave their text."""
+def with_spans(docs: DataFrame, keep: list[str] | None = None, hot: int = HOT, out: str = "removed") -> DataFrame:
+    """The rows of ``docs`` with ``out``, the maximal byte spans [lo, hi) that leave their text."""
     spark = docs.sparkSession
     ship(spark)
     keep = docs.columns if keep is None else keep
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    spans = lost_spans(own, shared_anchors(own, hot)).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("removed"))
     rest = docs.select(*dict.fromkeys([*keep, "doc_id", "text"]))
-    return rest.join(spans, "doc_id", "left").select(*dict.fromkeys([*keep, "text"]), "removed")
+    own = rest.where("doc_id is not null")  # dealt by doc_id once, for both joins, if no other column is kept
+    texts = own.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spans = lost_spans(texts, shared_anchors(texts, hot)).groupBy(F.col("doc_id").alias("_span_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
+    names = [F.col(c) for c in dict.fromkeys([*keep, "text"])]
+    done = own.join(spans, F.col("doc_id") == F.col("_span_doc"), "left").select(*names, F.col("_spans").alias(out))
+    return done.unionByName(rest.where("doc_id is null").select(*names, F.lit(None).cast(done.schema[out].dataType).alias(out)))
 
 
 def _kept(raw: bytes, spans) -> tuple[bytes, int, int]:
@@ -432,7 +435,10 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
 
-    return with_spans(docs, others, hot).select(*others, "text", "removed").mapInArrow(run, docs.schema)
+    out = "removed"
+    while out in names:
+        out = f"_{out}"
+    return with_spans(docs, others, hot, out).select(*others, "text", out).mapInArrow(run, docs.schema)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
