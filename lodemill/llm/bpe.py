@@ -30,7 +30,7 @@ class Encoder:
     Texts of ``long`` characters or more are encoded by the library as they are.
     """
 
-    def __init__(self, path: str, most: int = 700_000, long: int = 1 << 22):
+    def __init__(self, path: str, most: int = 1_200_000, long: int = 1 << 22):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
