@@ -53,7 +53,8 @@ def fit_lengths(length: np.ndarray, count: np.ndarray, goal: int, budget: int =
     take = np.zeros(len(length), np.int64)
     if goal <= 0 or not total:
         return take
-    take = np.array([int(c) * goal // total for c in count], np.int64)
+    bulk = goal - min(goal // 8, budget // 2)  # the rest is fitted
+    take = np.array([int(c) * bulk // total for c in count], np.int64)
     left, free = goal - int((take * length).sum()), count - take
     for i in np.argsort(-length, kind="stable"):
         if left <= budget:

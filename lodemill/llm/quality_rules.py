@@ -225,9 +225,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, text: str
 
 
 def judged(docs: DataFrame, rules: DecisionList, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with its statistics, base_failed, the number of the rule that rejects it, and kept."""
-    out = with_stats(docs, text, keep).withColumn("base_failed", base_failed())
-    out = out.withColumn("rule", rules.expression(feature_columns()))
+    """``docs`` with its statistics, base_failed, the number of the rule that rejects it, and kept.
+
+    The statistics are a struct ``stats``, with underscores before it if ``docs`` has such a column;
+    columns of the other three names are replaced.
+    """
+    own = [c for c in (docs.columns if keep is None else keep) if c not in ("base_failed", "rule", "kept")]
+    stats = "stats"
+    while stats in own:
+        stats = f"_{stats}"
+    out = with_stats(docs, text, own, stats).withColumn("base_failed", base_failed(stats))
+    out = out.withColumn("rule", rules.expression(feature_columns(stats)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 

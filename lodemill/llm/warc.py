@@ -100,7 +100,10 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("a header line without a colon")
-        head[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+        name = name.strip().lower().decode("utf-8", "replace")
+        if name in head and name != "warc-concurrent-to":
+            raise Damaged("a header that stands twice")  # two records' heads run into one
+        head[name] = value.strip().decode("utf-8", "replace")
     if not head.get("content-length", "").isdigit():
         raise Damaged("no content length")
     body += 4

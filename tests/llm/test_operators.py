@@ -1,0 +1,553 @@
+"""The ten operators on small fixtures, against brute force, with the awkward cases."""
+
+import base64
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from lodemill.llm import ann, bpe, lm_mixing, mixing, near_dup, packing, quality_rules, site_classifier, suffix_dedup, token_files, warc
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, stats string, removed string, _h int"
+
+
+def words(rng, n, kinds=60):
+    return [f"w{rng.randrange(kinds)}é" if rng.random() < 0.1 else f"W{rng.randrange(kinds)}" for _ in range(n)]
+
+
+def corpus(seed=0, n=60):
+    """Texts with exact and near copies, shared passages, junk and the awkward cases."""
+    rng = random.Random(seed)
+    texts = []
+    passage = " ".join(words(rng, 30))
+    base = words(rng, 200)
+    for i in range(n):
+        kind = i % 6
+        w = words(rng, rng.randrange(1, 150))
+        if kind == 0:
+            w = list(base)
+            for _ in range(rng.randrange(0, 6)):
+                w[rng.randrange(len(w))] = "edit"
+        text = " ".join(w)
+        if kind == 1:
+            text = f"{text}\n{passage}\n{text[:40]}"
+        if kind == 2 and texts:
+            text = rng.choice(texts) or ""
+        if kind == 3:
+            text = "\n".join([" ".join(w[:5])] * 8) + " *** $$$"
+        texts.append(text)
+    texts += [None, "", "   \t\n", "x", "a b c", "A  B\x0bC", "é" * 120, "\x00 nul \x00", "ab " * 400]
+    return [(i, t, "en", f"s{i % 3}" if i % 7 else None, len(t or ""), "clash", "clash", 1) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# ----------------------------------------------------------------------------------------- 1: WARC
+
+
+def records(n=5, gz=True):
+    out = []
+    for i in range(n):
+        raw = warc.build_record(i, f"http://x/{i} \n", f"<p>{i} WARC/1.1\r\nWARC-Type: response\r\n\r\n{'y' * 50}".encode(), None, "2024-01-01T00:00:00Z")
+        if gz:
+            z = zlib.compressobj(6, zlib.DEFLATED, 31)
+            raw = z.compress(raw + b"\r\n\r\n") + z.flush() + b"\0"
+        else:
+            raw += b"\r\n\r\n"
+        out.append(raw)
+    return out
+
+
+@pytest.mark.parametrize("gz", [True, False])
+@pytest.mark.parametrize("damage", ["none", "flip", "cut", "junk", "tail"])
+def test_salvage(gz, damage):
+    parts = records(gz=gz)
+    if damage == "flip":
+        parts[2] = parts[2][:60] + bytes([parts[2][60] ^ 0x55]) + parts[2][61:]
+        if not gz:  # in the payload, so that the digest fails
+            parts[2] = records(gz=False)[2].replace(b"yyyy", b"yyyz", 1)
+    if damage == "cut":
+        parts[2] = parts[2][: len(parts[2]) // 2]
+    if damage == "junk":
+        parts[2] = b"\x1f\x8b\x08junk WARC/1.0\r\n more"
+    if damage == "tail":
+        parts[4] = parts[4][:-30]
+    data = b"".join(parts)
+    got = list(warc.salvage(data))
+    ids = [int(re.search(r"\d+", g[2]["warc-record-id"])[0]) for g in got if g[4] is None]
+    assert ids == [i for i in range(5) if damage == "none" or i != (4 if damage == "tail" else 2)]
+    gaps = [(a, z) for a, z, _, _, reason in got if reason]
+    assert len(gaps) == (damage != "none")
+    if gaps:
+        k = 4 if damage == "tail" else 2
+        assert gaps[0] == (len(b"".join(parts[:k])), len(b"".join(parts[: k + 1])))
+
+
+def test_salvage_of_nothing_and_noise():
+    assert list(warc.salvage(b"")) == []
+    got = list(warc.salvage(b"noise" * 10))
+    assert len(got) == 1 and got[0][:2] == (0, 50) and got[0][4]
+
+
+@pytest.mark.parametrize("level", [4, None])
+def test_warc_round_trip(spark, tmp_path, level):
+    html = ["a", "b", "a", None, "", "WARC/1.0\r\n\r\n\x00", "é" * 5000, "a", "b"]
+    rows = [(i if i != 8 else None, f"http://h/{i}" if i % 2 else None, h, "clash") for i, h in enumerate(html)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, sha string")
+    warc.write_warc(pages, str(tmp_path / "w"), gzip_level=level)
+    got = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    assert not [r for r in got if r["gap"]]
+    first = {}
+    for i, h in enumerate(html[:8]):
+        first.setdefault(h or "", i)
+    seen = {}
+    for r in got:
+        m = re.fullmatch(r"<urn:page:(\d+)>", r["headers"]["warc-record-id"])
+        seen[int(m[1]) if m else None] = r
+    assert len(seen) == 9
+    for i, h in enumerate(html):
+        r, raw = seen[i if i != 8 else None], (h or "").encode()
+        revisit = first.get(h or "") != i
+        assert r["headers"]["warc-type"] == ("revisit" if revisit else "response")
+        assert r["payload_bytes"] == len(raw) and r["payload_digest"] == base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        assert revisit == ("warc-refers-to" in r["headers"])
+        assert bytes(r["payload"]) == (b"" if revisit else raw)
+
+
+def test_warc_of_no_pages(spark, tmp_path):
+    warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
+    assert warc.read_warc(spark, str(tmp_path / "w")).count() == 0
+
+
+# ------------------------------------------------------------------------------------------ 2: ANN
+
+
+def brute(v, ids, q, k=10):
+    d = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
+    order = np.lexsort((ids, d))
+    return [int(ids[i]) for i in order if i != q][:k]
+
+
+def test_graph_recall(spark):
+    rng = np.random.default_rng(0)
+    v = np.concatenate((rng.normal(0, 1, (1200, 16)) + 6 * rng.normal(0, 1, (12, 16)).repeat(100, axis=0), np.ones((300, 16))))
+    rows = [(i, [float(x) for x in r], 1) for i, r in enumerate(v)]
+    rows += [(2000, None, 1), (2100, [], 1), (2200, [0.0] * 16, 1), (2300, [float("nan")] + [1.0] * 15, 1), (2400, [None] + [1.0] * 15, 1), (2500, [float("inf")] * 16, 1), (2600, [1.0], 1), (None, [1.0] * 16, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v int")
+    clean = ann._clean(df, "vec_id", "embedding")
+    assert clean.count() == 1500
+    got = ann.search_index(ann.build_index(clean, 400), clean.where("vec_id % 100 = 0"), block=5).toPandas()
+    assert sorted(got["query_id"].unique()) == list(range(0, 1500, 100))
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        g = g.sort_values("rank")
+        assert g["rank"].tolist() == list(range(1, 11)) and g["score"].is_monotonic_increasing
+        assert np.allclose(g["score"], np.sqrt(((v[g["vec_id"]] - v[q]) ** 2).sum(axis=1)))
+        hit += len(set(g["vec_id"]) & set(brute(v, np.arange(1500), q)))
+    assert hit >= 0.9 * 150
+    same = got[got["query_id"] == 1400].sort_values("rank")["vec_id"].tolist()
+    assert same == list(range(1200, 1210))  # equal vectors: ties to the smaller id
+
+
+def test_few_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = ann.search_index(ann.build_index(df.select("vec_id", F.col("embedding").alias("v"))), df.where("vec_id = 0").select("vec_id", F.col("embedding").alias("v"))).collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, math.sqrt(2))]
+    none = ann._clean(df.limit(0), "vec_id", "embedding")
+    assert ann.search_index(ann.build_index(none), none).count() == 0
+
+
+# ------------------------------------------------------------------------------ 3: near duplicates
+
+
+def brute_groups(rows):
+    sets, p = {}, {}
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(LOW))
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+        p[i] = i
+
+    def find(x):
+        while p[x] != x:
+            x = p[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b]:
+                n = len(sets[a] & sets[b])
+                if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+                    x, y = find(a), find(b)
+                    p[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("gather", [near_dup.GATHER, 3000])
+def test_near_duplicates(docs, gather):
+    want = brute_groups([(r[0], r[1]) for r in corpus()])
+    got = near_dup.near_duplicates(docs, gather).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+    assert len({c for _, c in want.values()}) < len(want) - 5
+
+
+def test_near_duplicates_awkward(spark, empty):
+    assert near_dup.near_duplicates(empty).count() == 0
+    t = "one two three four five six"
+    df = spark.createDataFrame([(None, t), (3, t), (3, t), (3, "quite another text of some more words"), (7, "Quite another text of some more words"), (9, "one two  three four\nfive SIX")], "doc_id long, text string")
+    got = sorted(map(tuple, near_dup.near_duplicates(df).select("doc_id", "component_id", "kept").collect()), key=str)
+    assert got == [(3, 3, True), (3, 3, True), (3, 3, True), (7, 3, False), (9, 3, False), (None, None, True)]
+
+
+def test_components_of_sets_are_exact():
+    rng = random.Random(5)
+    for _ in range(30):
+        base = [rng.randrange(10**6) for _ in range(60)]
+        sets = []
+        for _ in range(rng.randrange(1, 40)):
+            s = set(base)
+            for x in rng.sample(base, rng.randrange(0, 12)):
+                s.discard(x)
+                s.add(rng.randrange(10**6))
+            sets.append(np.array(sorted(s), np.uint64))
+            if rng.random() < 0.2:
+                base = [rng.randrange(10**6) for _ in range(60)]
+        off = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+        got = near_dup.components_of_sets(np.concatenate(sets), off)
+        p = list(range(len(sets)))
+        for _ in sets:
+            for a in range(len(sets)):
+                for b in range(len(sets)):
+                    n = len(np.intersect1d(sets[a], sets[b]))
+                    if near_dup.linked(n, len(sets[a]), len(sets[b])):
+                        p[a] = p[b] = min(p[a], p[b])
+        assert got.tolist() == p
+
+
+# --------------------------------------------------------------------------------- 4: LM scoring
+
+
+def test_base_and_score(docs, empty):
+    rows = [(r[0], r[1]) for r in corpus()]
+    tok = {i: [*WORD.findall((t or "").translate(LOW)), None] for i, t in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tok}
+    c = Counter(w for i, t in tok.items() if not held[i] for w in t)
+    n, v = sum(c.values()), len(c)
+    got = lm_mixing.scored(docs.select("doc_id", "text")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        t = tok[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(t), sum(c[w] > 0 for w in t), n)
+        assert abs(r["base_score"] - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) < 1e-6
+        assert r["score"] < 0
+    assert lm_mixing.scored(empty.select("doc_id", "text")).count() == 0
+
+
+def test_probabilities_add_up():
+    rng = np.random.default_rng(1)
+    tables = rng.integers(0, 50, (lm_mixing.ORDERS, 2 * lm_mixing.CELLS)).astype(np.int32)
+    model = lm_mixing.Model(rng.integers(0, 1000, 256), np.stack([lm_mixing.log_odds(t) for t in tables]))
+    model.weights = rng.normal(0.2, 0.2, model.weights.shape).astype(np.float32)
+    model.refined = rng.uniform(0.05, 0.95, model.refined.shape).astype(np.float32)
+    prefix = np.frombuffer(b"the cat the cat the ca", np.uint8)
+    one = model.score(prefix, np.array([0, len(prefix)]))[0]
+    many = np.concatenate([np.append(prefix, np.uint8(s)) for s in range(256)])
+    got = model.score(many, np.arange(257) * (len(prefix) + 1))
+    assert abs(np.sum(10.0 ** (got - one)) - 1) < 1e-3
+    alone = [model.score(np.append(prefix, np.uint8(s)), np.array([0, len(prefix) + 1]))[0] for s in (0, 116)]
+    assert np.allclose(alone, got[[0, 116]])
+
+
+def test_symbols():
+    texts = [b" A  b\n", b"", b"\t", b"xY z", "É é".encode()]
+    off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    sym, at = lm_mixing.symbols(np.frombuffer(b"".join(texts), np.uint8), off)
+    assert [sym[a:z].tobytes() for a, z in zip(at[:-1], at[1:])] == [b"a b\n", b"\n", b"\n", b"xy z\n", "É é\n".encode()]
+
+
+def test_held_out_text_is_short_in_bits(spark):
+    rng = random.Random(2)
+    syllable = ["ka", "lo", "mi", "tu", "ren", "sha"]
+    rows = [(i, " ".join("".join(rng.choice(syllable) for _ in range(rng.randrange(2, 7))) for _ in range(120))) for i in range(300)]
+    got = lm_mixing.scored(spark.createDataFrame(rows, "doc_id long, text string"))
+    bits = {r["held_out"]: r["bits"] for r in got.groupBy("held_out").agg(F.avg("bits_per_byte").alias("bits")).collect()}
+    order0 = Counter("".join(t for _, t in rows))
+    total = sum(order0.values())
+    assert bits[True] < 0.6 * -sum(n / total * math.log2(n / total) for n in order0.values()) and abs(bits[True] - bits[False]) < 0.1
+
+
+# ---------------------------------------------------------------------------------- 5: classifier
+
+
+def test_classifier(spark, empty):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(600):
+        w = words(rng, 80, 300)
+        bad, toxic = i % 10 == 0, i % 9 == 0
+        if bad:
+            w = [x + " ***" for x in w]
+        if toxic:
+            w[rng.randrange(80)] = rng.choice(("Vile,", "vile", "(foul)"))
+            w[rng.randrange(80)] = "foul."
+        rows.append((i, " ".join(w), "en", f"h{i % 5}" if i % 11 else None, 0, "x", "x", 1))
+        if i < 400:
+            labels.append((i, None if i == 5 else int(not bad), int(toxic)))
+    rows += [(700, None, None, None, None, None, None, None), (None, "", None, None, None, None, None, None)]
+    got = site_classifier.classified(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.col("source"), F.col("lang")).toPandas()
+    assert len(got) == 602
+    new = got[(got["doc_id"] >= 400) & (got["doc_id"] < 600)].set_index("doc_id")
+    assert all(not new.loc[i, "kept"] for i in new.index if i % 9 == 0)
+    clean = [i for i in new.index if i % 10 and i % 9]
+    assert new.loc[clean, "kept"].mean() > 0.97
+    assert sum(not new.loc[i, "kept"] for i in new.index if i % 10 == 0) >= 15
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert site_classifier.classified(empty, none, F.col("source"), F.col("lang")).count() == 0
+    alone = site_classifier.classified(spark.createDataFrame(rows[:5], DOCS), none, F.col("source"), F.col("lang")).collect()
+    assert all(r["kept"] for r in alone)
+
+
+# -------------------------------------------------------------------------------- 6: suffix arrays
+
+
+def brute_removed(rows):
+    seen, out = {}, {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 49):
+            if seen.setdefault(b[p : p + 50], i) < i:
+                gone[p : p + 50] = True
+        out[i] = (b, gone)
+    return out
+
+
+@pytest.mark.parametrize("hot,batch", [(256, 16 << 20), (2, 3000)])
+def test_suffix_dedup(docs, monkeypatch, hot, batch):
+    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
+    want = brute_removed([(r[0], r[1]) for r in corpus()])
+    got = suffix_dedup.with_spans(docs, ["doc_id"], hot).collect()
+    assert len(got) == len(want) and sum(g.sum() for _, g in want.values()) > 3000
+    for r in got:
+        raw, gone = want[r["doc_id"]]
+        kept, n, spans = suffix_dedup._kept(raw, r["removed"])
+        assert kept == np.frombuffer(raw, np.uint8)[~gone].tobytes() and n == gone.sum()
+        assert spans == (np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()
+
+
+def test_without_repeats(spark, docs, empty):
+    out = {r["doc_id"]: r for r in suffix_dedup.without_repeats(docs).collect()}
+    want = brute_removed([(r[0], r[1]) for r in corpus()])
+    for i, (raw, gone) in want.items():
+        text = None if corpus()[i][1] is None else np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+        assert out[i]["text"] == text and out[i]["stats"] == "clash" and out[i]["n_chars"] == (None if text is None else len(text))
+    assert suffix_dedup.without_repeats(empty).count() == 0
+    t = "abcdefghij" * 8
+    df = spark.createDataFrame([(None, t), (4, t), (4, t), (5, t + "é" * 30), (6, "é" * 30)], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in suffix_dedup.without_repeats(df).collect())
+    assert got == [("4", t), ("4", t), ("5", "é" * 30), ("6", ""), ("None", t)]
+
+
+def test_suffix_arrays_and_prefixes():
+    rng = random.Random(1)
+    for k in range(40):
+        parts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 40))) for _ in range(rng.randrange(1, 8))] + [b"abab" * k] * (k % 3 if k else 0)
+        raw = b"".join(parts)
+        t, size = np.frombuffer(raw, np.uint8), [len(p) for p in parts]
+        end = np.repeat(np.cumsum(size), size)
+        sa = suffix_dedup.suffix_array(t, end)
+        assert sa.tolist() == sorted(range(len(t)), key=lambda i: (raw[i : end[i]], i))
+        lcp = suffix_dedup.common_prefixes(t, end, sa)
+        for i in range(1, len(sa)):
+            a, b = raw[sa[i - 1] : end[sa[i - 1]]], raw[sa[i] : end[sa[i]]]
+            assert lcp[i] == next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+# ------------------------------------------------------------------------- 7, 8: tokens and packing
+
+
+@pytest.fixture(scope="module")
+def ids():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_path())
+    t.encode_special_tokens = True
+    return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def test_encoder_equals_the_library(ids):
+    texts = [r[1] for r in corpus()] + [" a", "a ", "a  b", "a\n b\n\nc", "\n", "x \ny", "it's  don't 's 12 34..5 <|endoftext|> z", "é ñandú\t\tq ", " 's", "a  b", "a　b c"]
+    got, off = bpe.Encoder(bpe.default_path(), most=3, long=500).encode(texts, 0)
+    for i, t in enumerate(texts):
+        assert got[off[i] : off[i + 1]].tolist() == ids(t), repr(t)
+
+
+@pytest.mark.parametrize("encoding", ["dictionary", "delta"])
+def test_token_files(spark, docs, empty, tmp_path, ids, encoding):
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "t")
+    token_files.write_tokens(docs, path, bpe.default_path(), encoding=encoding, files=3)
+    rows = token_files.read_tokens(spark, path).orderBy("doc_id").collect()
+    start = 0
+    for r, d in zip(rows, corpus()):
+        assert (r["doc_id"], r["start"], r["ids"]) == (d[0], start, ids(d[1]))
+        start += len(r["ids"])
+    used = {e for f in (tmp_path / "t").glob("*.parquet") for g in range(pq.ParquetFile(f).metadata.num_row_groups) for c in range(5) if (m := pq.ParquetFile(f).metadata.row_group(g).column(c)).path_in_schema.startswith("ids") for e in m.encodings}
+    assert any(("DICTIONARY" if encoding == "dictionary" else "DELTA_BINARY_PACKED") in e for e in used)
+    crc = {r["doc_id"]: r["ids_crc32"] for r in token_files.with_crc(token_files.read_tokens(spark, path)).collect()}
+    assert crc[3] == zlib.crc32(np.array(ids(corpus()[3][1]), "<u4").tobytes())
+    token_files.write_tokens(empty, str(tmp_path / "e"), bpe.default_path())
+    assert token_files.read_tokens(spark, str(tmp_path / "e")).count() == 0
+
+
+@pytest.mark.parametrize("shard", [packing.SHARD, 7])
+def test_packing(docs, empty, ids, shard):
+    got = packing.pack(packing.pieces(docs, bpe.default_path(), most=64), tokens=64, shard=shard).toPandas()
+    for i, g in got.groupby("doc_id"):
+        own, g = ids(corpus()[int(i)][1]), g.sort_values("piece")
+        assert g["length"].sum() == len(own) and (g["length"].iloc[1:] == 64).all()
+        for r in g.itertuples():
+            assert r.ids_crc32 == zlib.crc32(np.array(own[r.start : r.start + r.length], "<u4").tobytes())
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 64
+    assert got["sequence_id"].nunique() <= 1.05 * math.ceil(got["length"].sum() / 64) + 1
+    assert packing.pack(packing.pieces(empty, bpe.default_path())).count() == 0
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_vector_capacities(score):
+    rng = np.random.default_rng(3)
+    length = rng.integers(1, 50, 300)
+    bins, offset = packing.best_fit(length, (64, 4, 2500.0), score=score)
+    for b in np.unique(bins):
+        own = length[bins == b]
+        assert own.sum() <= 64 and len(own) <= 4 and (own**2).sum() <= 2500 and sorted(offset[bins == b])[0] == 0
+    with pytest.raises(ValueError):
+        packing.best_fit(np.array([60]), (64, 4, 2500.0))
+
+
+def test_token_best_fit_is_the_vector_best_fit():
+    rng = np.random.default_rng(4)
+    for _ in range(10):
+        length = rng.integers(1, 65, 200)
+        a, _ = packing.best_fit(length, (64, 64, 64.0**2), (1.0, 0.0, 0.0))
+        b, _ = packing.best_fit_by_tokens(length, 64)
+        assert len(np.unique(a)) == len(np.unique(b))
+
+
+# --------------------------------------------------------------------------------------- 9: mixing
+
+
+def test_water_fill():
+    got = mixing.water_fill([100, 10, 1000], [5, 2, 1], 1.5 * 1110)
+    assert got[0] == 200 and got[1] == 20 and abs(sum(got) - 1665) < 1e-9
+    assert mixing.water_fill([0, 0], [5, 2], 0) == [0, 0] and mixing.water_fill([], [], 0) == []
+
+
+@pytest.mark.parametrize("budget", [1 << 16, 40])
+def test_fit_lengths(budget):
+    rng = random.Random(6)
+    for _ in range(50):
+        length = np.array(sorted(rng.sample(range(1, 60), rng.randrange(1, 12))))
+        count = np.array([rng.randrange(1, 30) for _ in length])
+        goal = rng.randrange(0, int((length * count).sum()) + 1)
+        take = mixing.fit_lengths(length, count, goal, budget)
+        total = int((take * length).sum())
+        assert (take <= count).all() and (take >= 0).all() and total <= goal
+        if budget > 1000:
+            assert goal - total <= max(length)
+
+
+def test_fit_is_exact_where_lengths_allow():
+    length, count = np.arange(1, 200), np.full(199, 40)
+    for goal in (1, 77, 5000, 123_457, 700_001):
+        assert (mixing.fit_lengths(length, count, goal) * length).sum() == goal
+
+
+def test_mixing(docs, empty):
+    got = mixing.mixed(docs).toPandas()
+    rows = corpus()
+    size = {r[0]: len(WORD.findall(r[1] or "")) for r in rows}
+    assert len(got) == len(rows) and all(size[r.doc_id] == r.size and r.taken == r.copies * r.size <= 2 * r.size for r in got.itertuples())
+    got["source"] = [rows[i][3] or "~" for i in got["doc_id"]]
+    for _, g in got.groupby("source"):
+        assert g["source_size"].iloc[0] == g["size"].sum() and abs(g["taken"].sum() - g["target"].iloc[0]) < 30
+    assert abs(got.groupby("source")["target"].first().sum() - 1.5 * got["size"].sum()) < 1e-6
+    again = mixing.mixed(docs.repartition(5)).toPandas().sort_values("doc_id")["taken"].tolist()
+    assert again == got.sort_values("doc_id")["taken"].tolist()
+    assert mixing.mixed(empty).count() == 0
+
+
+# -------------------------------------------------------------------------------- 10: quality rules
+
+
+def brute_stats(t):
+    t = t or ""
+    w = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    grams = Counter(zip(w, w[1:], w[2:]))
+    hit = {i + k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit)
+
+
+def test_statistics(docs, empty):
+    got = {r["doc_id"]: tuple(r["stats"])[:5] for r in quality_rules.with_stats(docs, keep=["doc_id"]).collect()}
+    assert got == {r[0]: brute_stats(r[1]) for r in corpus()}
+    assert quality_rules.with_stats(empty, keep=["doc_id"]).count() == 0
+
+
+def test_statistics_of_random_bytes():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab \n\t#é\x0b") for _ in range(rng.randrange(0, 120))) for _ in range(400)]
+    raw = [t.encode() for t in texts]
+    got = quality_rules.block_stats(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))))
+    for i, t in enumerate(texts):
+        assert tuple(int(got[s][i]) for s in quality_rules.STATS[:5]) == brute_stats(t), repr(t)
+
+
+def test_decision_list(spark):
+    rng = np.random.default_rng(9)
+    frame = pd.DataFrame({n: rng.uniform(0, 1, 900) for n, _, _ in quality_rules.FEATURES})
+    bad = ((frame["symbols_per_word"] > 0.8) & (frame["upper_share"] <= 0.5)).to_numpy() | (frame["repeated_words"] > 0.9).to_numpy()
+    rules = quality_rules.learn(frame, bad)
+    hit = rules.apply(frame) > 0
+    assert (hit & bad).sum() > 0.9 * bad.sum() and (hit & ~bad).sum() <= 0.03 * hit.sum()
+    df = spark.createDataFrame(frame)
+    got = df.select(rules.expression({n: F.col(n) for n in frame.columns}).alias("r")).toPandas()["r"]
+    assert got.tolist() == rules.apply(frame).tolist()
+    assert quality_rules.learn(frame, np.zeros(900, bool)).rules == []
+
+
+def test_judged_without_labels(docs, spark):
+    rules = quality_rules.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    got = {r["doc_id"]: r for r in quality_rules.judged(docs, rules).collect()}
+    for r in corpus():
+        s = brute_stats(r[1])
+        failed = s[0] < 50 or 100 * s[4] > 50 * s[0]
+        assert got[r[0]]["base_failed"] == failed and got[r[0]]["kept"] == (not failed)
+
+
+def test_utf8_slices():
+    col = pa.array(["a", None, "bc", "", "é"]).slice(1)
+    raw, off = quality_rules.utf8(col)
+    assert raw.tobytes() == "bcé".encode() and off.tolist() == [0, 0, 2, 2, 4]
