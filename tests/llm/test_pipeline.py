@@ -3,7 +3,7 @@
 import corpus_pipeline
 import numpy as np
 import pytest
-from test_operators import DOCS, brute_groups, brute_removed, brute_stats, corpus
+from test_llm_operators import DOCS, brute_groups, brute_removed, brute_stats, corpus
 
 
 @pytest.fixture(scope="module")
