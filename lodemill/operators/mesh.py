@@ -70,7 +70,7 @@ def area_and_volume(geometry: DataFrame) -> DataFrame:
     x = lambda i, a: F.col(f"{a}{i}")
     det = x(0, "x") * (x(1, "y") * x(2, "z") - x(1, "z") * x(2, "y")) - x(0, "y") * (x(1, "x") * x(2, "z") - x(1, "z") * x(2, "x")) + x(0, "z") * (x(1, "x") * x(2, "y") - x(1, "y") * x(2, "x"))
     sums = geometry.groupBy("mesh").agg(F.sum("area").alias("area"), F.abs(F.sum(det / 6)).alias("v"))
-    return sums.join(manifold(geometry).select("mesh", "closed"), "mesh").select("mesh", "area", F.when("closed", F.col("v")).alias("volume"))
+    return sums.join(manifold(geometry).select("mesh", "closed"), "mesh").select("mesh", "area", F.when(F.col("closed"), F.col("v")).alias("volume"))
 
 
 def dihedral_angles(geometry: DataFrame) -> DataFrame:
