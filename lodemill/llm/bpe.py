@@ -25,7 +25,7 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Ids of texts; keeps the ids of about ``most`` distinct pieces, then starts anew.
+    """Ids of texts; keeps the ids of about ``most`` distinct pieces, or 2**26 ids, then starts anew.
 
     Texts of ``long`` characters or more are encoded by the library as they are.
     """
@@ -42,7 +42,7 @@ class Encoder:
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
         self.flat, self.used = np.empty(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32), 0
-        self.lo, self.size, self.n = np.empty(1 << 14, np.int32), np.empty(1 << 14, np.uint16), 0
+        self.lo, self.size, self.n = np.empty(1 << 14, np.int32), np.empty(1 << 14, np.int32), 0
 
     def _learn(self, pieces: list[str]) -> None:
         for k in range(0, len(pieces), 8192):
@@ -63,7 +63,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts as uint32, offsets); ``end`` is appended to each text."""
-        if self.n > self.most:
+        if self.n > self.most or self.used > 1 << 26:  # few pieces may hold many ids
             self._clear()
         tail = np.array([] if end is None else [end], np.uint32)
         plain = [bool(t) and len(t) < self.long and "\0" not in t and not _AWKWARD.search(t) for t in texts]
@@ -80,7 +80,7 @@ class Encoder:
         if len(new):
             self._learn(list(dict.fromkeys(pieces[i] for i in new.tolist())))
             at[new] = [self.place[pieces[i]] for i in new.tolist()]
-        n = self.size[at].astype(np.int32)
+        n = self.size[at]
         last = np.cumsum(n, dtype=np.int64)
         total = int(last[-1]) if len(last) else 0
         shift = self.lo[at] - (last - n).astype(np.int32)

@@ -400,6 +400,18 @@ def test_encoder_equals_the_library(ids):
         assert got[off[i] : off[i + 1]].tolist() == ids(t), repr(t)
 
 
+def test_pieces_of_more_than_65536_ids(ids):
+    rng = random.Random(9)
+    texts = ["a " + base64.b64encode(rng.randbytes(100_000)).decode() + "\nz", "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(40_000)), "b c"]
+    own = bpe.Encoder(bpe.default_path())
+    for _ in range(2):  # learned, then looked up
+        got, off = own.encode(texts, 0)
+        for i, t in enumerate(texts):
+            want = ids(t)
+            assert len(want) > 1 << 16 or i == 2
+            assert got[off[i] : off[i + 1]].tolist() == want
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files(spark, docs, empty, tmp_path, ids, encoding):
     import pyarrow.parquet as pq
