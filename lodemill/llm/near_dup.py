@@ -157,7 +157,7 @@ def components_of_sets(flat: np.ndarray, off: np.ndarray, percent: int = PERCENT
     return label
 
 
-def _groups(table: pa.Table) -> pa.Table:
+def _groups(table: pa.Table, percent: int = PERCENT) -> pa.Table:
     """(node, component) of the rows (bucket, grp, node, shingles) of one bucket."""
     grp, node = table.column("grp").to_numpy(), table.column("node").to_numpy()
     raw, off = utf8(table.column("shingles"))
@@ -168,7 +168,7 @@ def _groups(table: pa.Table) -> pa.Table:
         rows = order[a:z]
         sets = [raw[off[r] : off[r + 1]].view(np.uint64) if (off[r] % 8 == 0) else np.frombuffer(raw[off[r] : off[r + 1]].tobytes(), np.uint64) for r in rows]
         at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-        label = components_of_sets(np.concatenate(sets), at)
+        label = components_of_sets(np.concatenate(sets), at, percent)
         out[rows] = node[rows][label]
     return pa.table({"node": node, "component": out})
 
@@ -188,7 +188,7 @@ def _with_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(text, "node").select("node", "grp", "bucket", "text").mapInArrow(run, "node long, grp long, bucket long, shingles binary")
 
 
-def _link_large(members: DataFrame, hubs: int = 64) -> DataFrame:
+def _link_large(members: DataFrame, percent: int = PERCENT, hubs: int = 64) -> DataFrame:
     """Links (src, dst) that settle every component of the groups of ``members`` (node, grp, shingles).
 
     Each round compares up to ``hubs`` nodes of a group, none of them in its largest component yet,
@@ -207,7 +207,7 @@ def _link_large(members: DataFrame, hubs: int = 64) -> DataFrame:
                 for p in pivots.as_py():
                     other = np.frombuffer(p["shingles"], np.uint64)
                     inter = len(np.intersect1d(own, other, assume_unique=True))
-                    if node != p["node"] and linked(inter, len(own), len(other)):
+                    if node != p["node"] and linked(inter, len(own), len(other), percent):
                         src.append(node)
                         dst.append(p["node"])
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
@@ -225,8 +225,9 @@ def _link_large(members: DataFrame, hubs: int = 64) -> DataFrame:
         links, tried = cut(links.unionByName(found)), cut(tried.unionByName(pick.select("node")))
 
 
-def near_duplicates(docs: DataFrame, gather: int = GATHER) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
+def near_duplicates(docs: DataFrame, gather: int = GATHER, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text); pairs whose
+    Jaccard similarity is ``percent`` hundredths or more are linked."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", "text")
@@ -243,11 +244,11 @@ def near_duplicates(docs: DataFrame, gather: int = GATHER) -> DataFrame:
     n = max(4 * partitions(spark), -(-total // (gather // 4)))
     bucket = F.pmod(F.xxhash64("grp"), F.lit(n))
     small = near.join(weight.where(F.col("bytes") <= gather).select("grp"), "grp", "left_semi")
-    found = _with_sets(docs, small.withColumn("bucket", bucket)).groupBy("bucket").applyInArrow(_groups, "node long, component long")
+    found = _with_sets(docs, small.withColumn("bucket", bucket)).groupBy("bucket").applyInArrow(lambda t: _groups(t, percent), "node long, component long")
     if largest > gather:
         large = near.join(weight.where(F.col("bytes") > gather).select("grp"), "grp", "left_semi")
         members = _with_sets(docs, large.withColumn("bucket", F.lit(0).cast("long"))).drop("bucket")
-        found = found.unionByName(connected_components(_link_large(members)))
+        found = found.unionByName(connected_components(_link_large(members, percent)))
     found = found.groupBy("node").agg(F.min("component").alias("component"))
     label = sets.select("set_id", "node").join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     out = sig.select("doc_id", "n_shingles", "set_id").join(label, "set_id", "left")

@@ -242,6 +242,20 @@ def test_components_of_sets_are_exact():
         assert got.tolist() == p
 
 
+@pytest.mark.parametrize("gather", [near_dup.GATHER, 100])
+def test_near_copies_from_80_percent_on(spark, gather):
+    rows, shares = [], {}
+    for i, changed in enumerate((7, 8, 10, 11)):  # words changed at the end of 100: 96 shingles each
+        base = [f"g{i}w{j}" for j in range(100)]
+        copy = [*base[: 100 - changed], *(f"n{i}x{j}" for j in range(changed))]
+        shares[2 * i + 1] = (96 - changed) / (96 + changed)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent, linked in ((80, 3), (85, 1)):
+        gone = {r["doc_id"] for r in near_dup.near_duplicates(docs, gather, percent).where("not kept").collect()}
+        assert gone == {i for i, s in shares.items() if 100 * s >= percent} and len(gone) == linked
+
+
 # --------------------------------------------------------------------------------- 4: LM scoring
 
 
