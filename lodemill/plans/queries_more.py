@@ -194,8 +194,12 @@ def q_serialize(spark, sf_dir):
 
 @query("q_dfs_order")
 def q_dfs_order(spark, sf_dir):
-    edges = _tree(spark, sf_dir).where("src < 1000")
-    return assembly.dfs_order(edges.withColumn("key", F.lit(0).cast("long")), "key")
+    """The whole tree, each region's vertices a graph of their own; an order of an unknown customer hangs on that one."""
+    nation = T(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("src"), F.col("n_regionkey").cast("long").alias("key"))
+    customer = T(spark, sf_dir, "customer").select((F.col("c_custkey") + 1000).alias("node"), (F.col("c_nationkey") + 100).cast("long").alias("src"))
+    roots = nation.select(F.col("key").alias("src"), "key").distinct().unionByName(nation).unionByName(customer.join(F.broadcast(nation), "src").select(F.col("node").alias("src"), "key"))
+    edges = _tree(spark, sf_dir).join(roots, "src", "left")
+    return assembly.dfs_order(edges.select(F.coalesce("key", "src").alias("key"), "src", "dst"), "key")
 
 
 def _clouds(spark, sf_dir):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodemill.operators import chunks, clouds, graph, mesh, relational, spatial
+from lodemill.plans import queries_more
 
 
 def test_components_of_random_graphs(spark):
@@ -129,3 +130,14 @@ def test_clouds(spark):
     both = [(0, "a", i, *map(float, x)) for i, x in enumerate(p)] + [(0, "b", i, *map(float, x)) for i, x in enumerate(q)]
     fit = clouds.register(spark.createDataFrame(both, "pair long, side string, point long, x double, y double, z double")).first()
     assert fit["fitness"] == 1.0 and fit["rmse"] < 0.01
+
+
+def test_dfs_order_has_every_vertex(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    count = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count()
+    got = queries_more.q_dfs_order(spark, sf_dir).toPandas()
+    assert len(got) == got["node"].nunique() == sum(map(count, ("region", "nation", "customer", "orders")))
+    assert got.groupby("depth").size().to_dict() == {0: count("region"), 1: count("nation"), 2: count("customer"), 3: count("orders")}
+    for key, g in got.groupby("key"):
+        g = g.sort_values("position")
+        assert g["position"].tolist() == list(range(len(g))) and g["node"].iloc[0] == key
