@@ -308,6 +308,14 @@ def test_held_out_text_is_short_in_bits(spark):
     assert bits[True] < 0.6 * -sum(n / total * math.log2(n / total) for n in order0.values()) and abs(bits[True] - bits[False]) < 0.1
 
 
+def test_every_training_document_teaches(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(words(rng, 80))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").where(F.xxhash64("doc_id", F.lit(8)) % 8 != 0)  # none of the former sample
+    model, _ = lm_mixing.train(docs)
+    assert (model.weights != 0.25).any() and (model.trust != np.linspace(0.5, 6, lm_mixing.RUNS).astype(np.float32)).any()
+
+
 # ---------------------------------------------------------------------------------- 5: classifier
 
 
