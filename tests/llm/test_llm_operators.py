@@ -101,6 +101,84 @@ def test_salvage(gz, damage):
         assert gaps[0] == (len(b"".join(parts[:k])), len(b"".join(parts[: k + 1])))
 
 
+def ids_of(events):
+    return [int(re.search(r"\d+", g[2]["warc-record-id"])[0]) for g in events if g[4] is None]
+
+
+def member(raw):
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(raw) + z.flush()
+
+
+def test_salvage_inside_a_member():
+    parts = records(10, gz=False)
+    assert ids_of(warc.salvage(member(b"".join(parts)))) == list(range(10))
+    bad = [*parts]
+    bad[4] = bad[4].replace(b"yyyy", b"yyyz", 1)
+    got = list(warc.salvage(member(b"".join(bad)) + b"\0" + member(parts[0])))
+    assert ids_of(got) == [0, 1, 2, 3, 5, 6, 7, 8, 9, 0]
+    gaps = [g for g in got if g[4]]
+    assert len(gaps) == 1 and "payload digest" in gaps[0][4] and f"bytes {len(b''.join(parts[:4]))} to {len(b''.join(parts[:5]))}" in gaps[0][4]
+    rng = random.Random(1)
+    wide = [warc.build_record(i, "u", rng.randbytes(3000), None, "2024-01-01T00:00:00Z") + b"\r\n\r\n" for i in range(10)]
+    cut = member(b"".join(wide))[:-4000]
+    got = list(warc.salvage(cut + b"\0" + member(parts[7])))
+    assert ids_of(got) == [0, 1, 2, 3, 4, 5, 6, 7, 7] and [g[:2] for g in got if g[4]] == [(0, len(cut) + 1)]
+
+
+def test_salvage_of_long_heads_and_repeated_fields():
+    url = "http://x/" + "a" * (2 << 20)
+    raw = [warc.build_record(i, url, b"body", None, "2024-01-01T00:00:00Z") + b"\r\n\r\n" for i in range(2)]
+    for data in (b"".join(raw), member(raw[0]) + b"\0" + member(raw[1])):
+        got = list(warc.salvage(data))
+        assert ids_of(got) == [0, 1] and got[0][2]["warc-target-uri"] == url and not [g for g in got if g[4]]
+    twice = raw[0].replace(b"X-Payload-Length", b"X-Note: a\r\nX-Note: b\r\nX-Payload-Length", 1)
+    assert next(warc.salvage(twice))[2]["x-note"] == "a, b"
+    twice = raw[0].replace(b"WARC-Date", b"WARC-Date: 2020\r\nWARC-Date", 1)
+    assert next(warc.salvage(twice))[4]
+
+
+def test_salvage_takes_linear_time():
+    import time
+
+    one = member(warc.build_record(1, "u", random.Random(3).randbytes(20_000), None, "2024-01-01T00:00:00Z") + b"\r\n\r\n") + b"\0"
+    spent = []
+    for n in (500, 2000):
+        t = time.perf_counter()
+        assert sum(1 for _ in warc.salvage(one * n)) == n
+        spent.append(time.perf_counter() - t)
+    assert spent[1] < 10 * spent[0] + 1
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, "u" * (1 << 20 if i == 3 else 5), base64.b64encode(rng.randbytes(2 << 20 if i % 10 == 0 else 1000)).decode()) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    warc.write_warc(pages, str(tmp_path / "w"), gzip_level=None, file_bytes=4 << 20)
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part*")]
+    assert len(sizes) > 2 and max(sizes) < 8 << 20
+    got = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    assert len(got) == 60 and not [r for r in got if r["gap"]]
+    assert {len(r["payload"]) for r in got} == {len(h) for _, _, h in rows}
+
+
+def test_op1_query(spark, tmp_path):
+    html = ["a", "b", "a", None, "", "é" * 5000, "a"]
+    rows = [(i, f"http://h/{i}", h, "x") for i, h in enumerate(html)] + [(9, None, "z", None), (9, None, "z", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, extra string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((tuple(r) for r in warc.op1_warc_salvage(spark, str(tmp_path)).collect()), key=str)
+    first = {}
+    for i, h in enumerate(html):
+        first.setdefault(h or "", i)
+
+    def line(i, h):
+        raw = (h or "").encode()
+        to = first.get(h or "", i)
+        return i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if to == i else "revisit", None if to == i else to
+
+    assert got == sorted((line(r[0], r[2]) for r in rows), key=str)
+
+
 def test_salvage_of_nothing_and_noise():
     assert list(warc.salvage(b"")) == []
     got = list(warc.salvage(b"noise" * 10))
