@@ -8,7 +8,8 @@ there; the sequences that a shard leaves poorly filled are dealt and packed once
 
 Defined results: a null or empty text is the end id alone; a text longer than a sequence is cut, its
 first piece taking the remainder; repeated rows and doc_ids are packed one by one; an empty table
-gives no rows; rows with a null doc_id are packed like others.
+gives no rows; rows with a null doc_id are packed like others; columns named sequence_id or offset are
+replaced, other columns of ``pack``'s rows stay whatever their names.
 """
 
 from __future__ import annotations
@@ -58,93 +59,76 @@ def pieces(docs: DataFrame, tokenizer: str, end: int = 0, most: int = TOKENS) ->
 
 
 def best_fit(length: np.ndarray, capacity: tuple[float, float, float], weights: tuple[float, float, float] = (1.0, 1e-4, 1e-4), score: str = "norm") -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each length, by vector best-fit decreasing."""
+    """(bin, offset) of each length, by vector best-fit decreasing.
+
+    The open bins are the first n columns of ``room``; a bin no piece fits any more gives its column up.
+    """
     order = np.argsort(-length, kind="stable")
     cap, w = np.array(capacity, float), np.array(weights, float)
-    room = np.empty((len(length), 3))
+    scale = w / cap**2
+    room = np.empty((3, len(length)))
     bins, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
     open_, n, made = np.empty(len(length), np.int64), 0, 0
     least = float(length.min()) if len(length) else 0.0
     for i in order.tolist():
-        need = np.array([length[i], 1.0, float(length[i]) ** 2])
+        size = float(length[i])
+        need = (size, 1.0, size * size)
         if (need > cap).any():
             raise ValueError(f"a piece of {length[i]} tokens exceeds a capacity")
-        left = room[:n] - need
-        ok = (left >= 0).all(axis=1)
-        if ok.any():
+        fits = np.flatnonzero((room[0, :n] >= need[0]) & (room[1, :n] >= 1.0) & (room[2, :n] >= need[2]))
+        if len(fits):
+            tokens, documents, attention = room[0].take(fits), room[1].take(fits), room[2].take(fits)
             if score == "norm":
-                value = ((left / cap) ** 2) @ w
+                tokens -= need[0]
+                documents -= need[1]
+                attention -= need[2]
+                value = scale[0] * tokens * tokens + scale[1] * documents * documents + scale[2] * attention * attention
             else:
-                value = -((room[:n] / cap) * (need / cap)) @ w
-            k = int(np.argmin(np.where(ok, value, np.inf)))
+                value = -(scale[0] * need[0] * tokens + scale[1] * documents + scale[2] * need[2] * attention)
+            k = int(fits[np.argmin(value)])
         else:
             k, n = n, n + 1
             open_[k], made = made, made + 1
-            room[k] = cap
-        bins[i], offset[i] = open_[k], cap[0] - room[k, 0]
-        room[k] -= need
-        if room[k, 0] < least or room[k, 1] < 1:  # full: no piece fits any more
+            room[:, k] = cap
+        bins[i], offset[i] = open_[k], cap[0] - room[0, k]
+        room[:, k] -= need
+        if room[0, k] < least or room[1, k] < 1:  # full: no piece fits any more
             n -= 1
-            room[k], open_[k] = room[n], open_[n]
-    return bins, offset
-
-
-def best_fit_by_tokens(length: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """``best_fit`` where only the token capacity can bind: the same choice, found by residual."""
-    order = np.argsort(-length, kind="stable")
-    bins, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
-    stacks: list[list[int]] = [[] for _ in range(most + 1)]
-    filled, made = 0, 0  # bit r of filled: some bin has r tokens left
-    for i in order.tolist():
-        n = int(length[i])
-        above = filled >> n
-        if above:
-            r = n + (above & -above).bit_length() - 1
-            k = stacks[r].pop()
-            if not stacks[r]:
-                filled &= ~(1 << r)
-        else:
-            r, k, made = most, made, made + 1
-        bins[i], offset[i] = k, most - r
-        if r > n:
-            stacks[r - n].append(k)
-            filled |= 1 << (r - n)
+            room[:, k], open_[k] = room[:, n], open_[n]
     return bins, offset
 
 
 def pack(rows: DataFrame, tokens: int = TOKENS, documents: int | None = None, attention: float | None = None, weights=(1.0, 1e-4, 1e-4), score: str = "norm", shard: int = SHARD) -> DataFrame:
-    """``rows`` (with a column length) with sequence_id and offset.
+    """``rows`` (with a column length) with sequence_id and offset, which replace columns of these names.
 
-    Capacities left out cannot bind: no sequence has more documents than tokens, nor a cost above the
-    square of its tokens. Then the residual norm falls with the residual tokens, and the best bin is
-    found from the occupied residuals instead of by scoring all.
+    Capacities left out are the natural ones: no sequence has more documents than tokens, nor a cost
+    above the square of its tokens. They weigh in the score all the same.
     """
-    spark = rows.sparkSession
-    free = documents is None and attention is None and score == "norm"
-    caps = (tokens, documents or tokens, attention or float(tokens) ** 2)
-    names = rows.columns
-    rows = cut(rows)
+    caps = (tokens, tokens if documents is None else documents, float(tokens) ** 2 if attention is None else attention)
+    names = [c for c in rows.columns if c not in ("sequence_id", "offset")]
+    shard_of, fill_of = (next(c for c in (f"{'_' * k}{name}" for k in range(1, 99)) if c not in names) for name in ("shard", "fill"))
+    rows = cut(rows.select(*names))
     n = rows.count()
 
     def packed(df: DataFrame, groups: int, round_: int) -> DataFrame:
         def run(table: pa.Table) -> pa.Table:
-            length, group = table.column("length").to_numpy(), table.column("_shard")[0].as_py()
-            bins, offset = best_fit_by_tokens(length, tokens) if free else best_fit(length, caps, weights, score)
+            length, group = table.column("length").to_numpy(), table.column(shard_of)[0].as_py()
+            bins, offset = best_fit(length, caps, weights, score)
             fill = np.bincount(bins, weights=length)[bins] if len(bins) else bins
             out = table.select(names).append_column("sequence_id", pa.array((round_ << 62) + (group << 32) + bins))
-            return out.append_column("offset", pa.array(offset)).append_column("_fill", pa.array(fill, pa.float64()))
+            return out.append_column("offset", pa.array(offset)).append_column(fill_of, pa.array(fill, pa.float64()))
 
-        schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", sequence_id long, offset long, _fill double"
-        dealt = df.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-        return dealt.groupBy("_shard").applyInArrow(run, schema)
+        schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + f", sequence_id long, offset long, {fill_of} double"
+        dealt = df.withColumn(shard_of, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+        return dealt.groupBy(shard_of).applyInArrow(run, schema)
 
     first = cut(packed(rows, max(1, -(-n // shard)), 0))
     if n <= shard:
-        return first.drop("_fill")
-    poor = F.col("_fill") < 0.97 * tokens
+        return first.drop(fill_of)
+    poor = F.col(fill_of) < 0.97 * tokens
     again = cut(first.where(poor).select(*names))
     m = again.count()
-    return first.where(~poor).drop("_fill").unionByName(packed(again, max(1, -(-m // shard)), 1).drop("_fill"))
+    return first.where(~poor).drop(fill_of).unionByName(packed(again, max(1, -(-m // shard)), 1).drop(fill_of))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

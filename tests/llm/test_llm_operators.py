@@ -558,13 +558,69 @@ def test_vector_capacities(score):
         packing.best_fit(np.array([60]), (64, 4, 2500.0))
 
 
-def test_token_best_fit_is_the_vector_best_fit():
+def brute_best_fit(length, caps, weights, score):
+    """The vector rule, a bin at a time."""
+    bins, room = [None] * len(length), []
+    for i in sorted(range(len(length)), key=lambda i: (-length[i], i)):
+        need = (float(length[i]), 1.0, float(length[i]) ** 2)
+        best = None
+        for k, r in enumerate(room):
+            if all(a >= b for a, b in zip(r, need)):
+                if score == "norm":
+                    value = sum(w * ((a - b) / c) ** 2 for w, a, b, c in zip(weights, r, need, caps))
+                else:
+                    value = -sum(w * (a / c) * (b / c) for w, a, b, c in zip(weights, r, need, caps))
+                if best is None or value < best[0] - 1e-12:
+                    best = (value, k)
+        if best is None:
+            room.append(list(caps))
+            best = (0, len(room) - 1)
+        room[best[1]] = [a - b for a, b in zip(room[best[1]], need)]
+        bins[i] = best[1]
+    return bins, room
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+@pytest.mark.parametrize("caps", [(64.0, 64.0, 64.0**2), (64.0, 5.0, 2600.0)])
+def test_vector_best_fit_is_the_rule(score, caps):
     rng = np.random.default_rng(4)
     for _ in range(10):
-        length = rng.integers(1, 65, 200)
-        a, _ = packing.best_fit(length, (64, 64, 64.0**2), (1.0, 0.0, 0.0))
-        b, _ = packing.best_fit_by_tokens(length, 64)
-        assert len(np.unique(a)) == len(np.unique(b))
+        length = rng.integers(1, 51, 150)
+        got, _ = packing.best_fit(length, caps, (1.0, 1e-4, 1e-4), score)
+        want, room = brute_best_fit(length.tolist(), caps, (1.0, 1e-4, 1e-4), score)
+        used = [sorted(np.bincount(x, weights=length).tolist()) for x in (got, want)]
+        assert len(used[0]) == len(used[1])  # equal scores may fall to another bin of the same room
+        assert used[0] == used[1]
+
+
+def test_packing_awkward(spark):
+    rows = [(1, 30, 7, 7, "x", "y"), (1, 30, 7, 7, "x", "y"), (None, 5, 7, 7, "x", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, length long, sequence_id long, offset int, _shard string, _fill string")
+    got = packing.pack(df, tokens=64).collect()
+    assert len({r["sequence_id"] for r in got}) == 2 and sorted(r["offset"] for r in got)[:2] == [0, 0]
+    assert all(r["_shard"] == "x" and r["_fill"] == "y" for r in got)
+    with pytest.raises(Exception, match="exceeds a capacity"):
+        packing.pack(df, tokens=64, documents=0).collect()
+
+
+def test_op7_query(spark, tmp_path, ids):
+    rows = corpus(3, 40) + [(None, "no id", *([None] * 6)), (5, "twice " * 3000, *([None] * 6))]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = packing.op7_best_fit_packing(spark, str(tmp_path)).toPandas()
+    left = Counter((r[0], tuple(ids(r[1]))) for r in rows)
+    starts = got[got["piece"] == 0]
+    assert len(starts) == len(rows) and got["length"].sum() == sum(len(t) * n for (_, t), n in left.items())
+    crcs = Counter()
+    for (d, t), n in left.items():
+        at = 0
+        for i, size in enumerate(packing.cut_lengths(len(t))):
+            crcs[d, i, at, size, zlib.crc32(np.array(t[at : at + size], "<u4").tobytes())] += n
+            at += size
+    assert Counter((None if pd.isna(r.doc_id) else int(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got.itertuples()) == crcs
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 2048
+    assert got["sequence_id"].nunique() <= math.ceil(got["length"].sum() / 2048) + 1
 
 
 # --------------------------------------------------------------------------------------- 9: mixing
