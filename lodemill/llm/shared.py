@@ -33,9 +33,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one set here."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode one is set here if unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -93,6 +95,7 @@ def blocks(off: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
 U = np.uint64
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
+_KEY, _LEN = U(0x243F6A8885A308D3), U(0xD6E8FEB86659FD93)
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _power: dict[str, np.ndarray] = {}
@@ -123,13 +126,45 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _power["up"], _power["down"]
 
 
+def lanes(b: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place of ``b`` on as one number each; zeros stand behind its end."""
+    padded = np.concatenate((b, np.zeros(8, np.uint8)))
+    return np.ndarray((len(b) + 1,), "<u8", padded, strides=(1,))
+
+
+#: lengths of 0 to 8 bytes as masks of a lane
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
 def span_hashes(b: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each b[lo:hi]; equal bytes give equal hashes anywhere."""
-    up, down = _powers(len(b))
-    total = np.empty(len(b) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[b] * up[: len(b)], dtype=np.uint64, out=total[1:])
-    return mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each b[lo:hi]; equal bytes give equal hashes anywhere.
+
+    Lanes of 8 bytes are mixed with their place in the span, each by itself, and then added, so no
+    pattern of the bytes cancels out: different spans meet as random numbers of 64 bits would.
+    """
+    lo, hi = np.asarray(lo, np.int64), np.asarray(hi, np.int64)
+    size, all_lanes = hi - lo, lanes(b)
+    out = mix(all_lanes[lo] & _MASK[np.minimum(size, 8)] ^ _KEY) + size.astype(np.uint64) * _LEN
+    more = np.flatnonzero(size > 8)
+    if len(more):
+        n = (size[more] - 1) // 8  # further lanes
+        k = ragged(n, np.ones(len(n), np.int64), n)
+        at = np.repeat(lo[more], n) + 8 * k
+        left = np.minimum(np.repeat(hi[more], n) - at, 8)
+        part = mix(all_lanes[at] & _MASK[left] ^ mix(_KEY + k.astype(np.uint64)))
+        out[more] += np.add.reduceat(part, np.cumsum(n) - n)
+    return mix(out)
+
+
+def equal_spans(b: np.ndarray, one: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether b[one[i]:one[i]+size[i]] and b[other[i]:other[i]+size[i]] hold the same bytes, for each i."""
+    out = np.ones(len(size), bool)
+    live = np.flatnonzero((size > 0) & (one != other))
+    for i in range(0, len(live), 1 << 14):
+        at = live[i : i + (1 << 14)]
+        same = b[ragged(b, one[at], size[at])] == b[ragged(b, other[at], size[at])]
+        out[at] = np.logical_and.reduceat(same, np.cumsum(size[at]) - size[at])
+    return out
 
 
 def word_spans(b: np.ndarray, off: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
