@@ -4,11 +4,14 @@ One permutation places a document's word shingles in a circle of 2**20 cells; on
 from that cell on, gives all signature coordinates (coordinate k is the table turned by k). Documents
 with equal shingle sets become one node. Nodes that share a band are joined to the bucket's smallest
 node, never to each other, and the components of that graph are the candidate groups. Each group's
-full sets are gathered once; links are confirmed exactly on them.
+full sets are gathered once; links are confirmed on them, shingle for shingle. A shingle is 64 bits of
+a hash of its words: two different ones among the n of a pair of texts meet with probability below
+n**2 / 2**65.
 
 Inside a group every pair of different components is settled: a pivot is compared with all members
-that the size bound and the triangle inequality of the Jaccard distance leave possible, and pivots
-are taken until everything outside the largest component has been one. Groups whose sets are too
+that the size bound, the triangle inequality of the Jaccard distance and, in larger groups, their
+rarest shingles leave possible, and pivots are taken until everything outside the largest component
+has been one. Groups whose sets are too
 large for one task go the same way in rounds of Spark jobs (``_link_large``), without gathering them.
 
 Defined results: a null, empty or blank text has no shingles and is linked with nothing; a null
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .shared import LOWER, U, blocks, cut, gram_hashes, mix, partitions, ship, span_hashes, utf8, word_spans
+from .shared import LOWER, U, blocks, cut, gram_hashes, mix, partitions, ragged, ship, span_hashes, utf8, word_spans
 
 CELLS = 1 << 20
 BANDS, ROWS = 20, 4
@@ -109,6 +112,34 @@ def linked(inter, a, b, percent: int = PERCENT):
     return 100 * inter >= percent * (a + b - inter)
 
 
+#: Sets from which on partners are looked up by their rare shingles, and pivots whose distances are kept.
+RARE, PIVOTS = 64, 16
+
+
+class Partners:
+    """For each of some sets, those that may be linked with it.
+
+    Linked sets share ``percent`` hundredths of the larger; so, under one order of all shingles, rarest
+    first, each has a shared one among its first size - ceil(percent * size / 100) + 1.
+    """
+
+    def __init__(self, cell: np.ndarray, off: np.ndarray, percent: int):
+        size, m = np.diff(off), len(off) - 1
+        row = np.repeat(np.arange(m), size)
+        order = np.lexsort((cell, np.bincount(cell)[cell], row))
+        place = np.arange(len(cell)) - np.repeat(off[:-1], size)
+        first = order[place < np.repeat(size - -(-percent * size // 100) + 1, size)]
+        self.cell, self.row = cell[first], row[first]
+        self.at = np.searchsorted(self.row, np.arange(m + 1))
+        self.by = np.argsort(self.cell, kind="stable")
+        self.sorted = self.cell[self.by]
+
+    def of(self, x: int) -> np.ndarray:
+        own = self.cell[self.at[x] : self.at[x + 1]]
+        lo, hi = np.searchsorted(self.sorted, own, "left"), np.searchsorted(self.sorted, own, "right")
+        return self.row[self.by[ragged(self.by, lo, hi - lo)]]
+
+
 def components_of_sets(flat: np.ndarray, off: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The smallest linked index for each set flat[off[i]:off[i+1]]; exact."""
     m = len(off) - 1
@@ -119,21 +150,31 @@ def components_of_sets(flat: np.ndarray, off: np.ndarray, percent: int = PERCENT
     flag = np.zeros(int(cell.max()) + 1 if len(cell) else 1, bool)
     done, seen = np.zeros(m, bool), []
     far = 1 - percent / 100 + 1e-9
+    partners = Partners(cell, off, percent) if m >= RARE and len(cell) else None
+    count = np.ones(m, np.int64)  # members of each label
+    main, where = 0, 0
+    first = True
     while True:
-        names, count = np.unique(label, return_counts=True)
-        main = names[np.argmax(count)]
-        if len(names) == 1:
-            break
-        todo = np.flatnonzero(~done & (label != main)) if seen else np.array([0])
-        if not len(todo):
-            break
-        x = todo[0]
+        if first:
+            x = 0
+        else:
+            while where < m and (done[where] or label[where] == main):
+                where += 1
+            if where == m:
+                break
+            x = where
         done[x] = True
-        fits = (label != label[x]) & ~(done & (np.arange(m) != x)) if seen else np.ones(m, bool)
-        fits &= (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])) | (not seen)
-        for d in seen[:16]:
-            fits &= ~(np.abs(d - d[x]) > far)
+        fits = np.ones(m, bool) if first else (label != label[x]) & ~done
+        if partners is not None and not first:
+            rare = np.zeros(m, bool)
+            rare[partners.of(x)] = True
+            fits &= rare
+        if not first:
+            fits &= 100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])
+            for d in seen:
+                fits &= ~(np.abs(d - d[x]) > far)
         fits[x] = False
+        first = False
         at = np.flatnonzero(fits)
         if not len(at):
             continue
@@ -142,18 +183,24 @@ def components_of_sets(flat: np.ndarray, off: np.ndarray, percent: int = PERCENT
             hit = np.concatenate(([0], np.cumsum(flag[cell])))
             inter = (hit[off[1:]] - hit[off[:-1]])[at]
         else:
-            own = np.concatenate([cell[off[i] : off[i + 1]] for i in at])
+            own = cell[ragged(cell, off[at], size[at])]
             hit = np.concatenate(([0], np.cumsum(flag[own])))
             end = np.cumsum(size[at])
             inter = hit[end] - hit[end - size[at]]
         flag[cell[off[x] : off[x + 1]]] = False
-        d = np.full(m, np.nan)
-        d[at], d[x] = 1 - inter / (size[at] + size[x] - inter), 0
-        seen.append(d)
+        if len(seen) < PIVOTS and (partners is None or len(at) == m - 1):
+            d = np.full(m, np.nan)
+            d[at], d[x] = 1 - inter / (size[at] + size[x] - inter), 0
+            seen.append(d)
         near = np.unique(label[at[linked(inter, size[at], size[x], percent)]])
         if len(near):
             low = min(int(near.min()), int(label[x]))
-            label[np.isin(label, near) | (label == label[x])] = low
+            gone = np.isin(label, near) | (label == label[x])
+            label[gone] = low
+            count[low] = int(gone.sum())
+            if count[low] > count[main] or main in near or main == label[x]:
+                main = low if count[low] >= count[main] or label[main] != main else main
+                where = 0
     return label
 
 
@@ -236,7 +283,7 @@ def near_duplicates(docs: DataFrame, gather: int = GATHER, percent: int = PERCEN
     sets = cut(sets.select("set_id", F.col("one.doc_id").alias("node"), F.col("one.bands").alias("bands"), F.col("one.n_shingles").alias("n")))
     keys = sets.select("node", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
-    near = connected_components(keys.join(hubs, "key").where("node <> hub").select(F.col("node").alias("src"), F.col("hub").alias("dst")).distinct())
+    near = connected_components(keys.join(hubs, "key").where("node <> hub").select(F.col("node").alias("src"), F.col("hub").alias("dst")))
     near = cut(near.select("node", F.col("component").alias("grp")))
     weight = sets.select("node", "n").join(near, "node").groupBy("grp").agg((8 * F.sum("n")).alias("bytes"))
     weight = cut(weight)
