@@ -13,7 +13,7 @@ doc_id. Texts never travel whole to find such strings:
    common prefix of LENGTH. The smallest doc_id of a run owns the string; the others lose it.
 3. The lost strings of a document are united, and their bytes leave its text.
 
-Bounds: an anchor in over HOT documents of a batch is sent once for them, and its strings are then
+Bounds: ranges and shards grow with the bytes of text, TASK for each. An anchor in over HOT documents of a batch is sent once for them, and its strings are then
 dealt one by one by their own hash, so what any task gathers for one string is a row from each batch.
 Of equal passages in a batch or shard only the smallest document's is compared: the others lose it in
 any case; and a shard leaves out the passages that alone have their anchor.
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import U, _BYTE, _powers, blocks, mix, partitions, ragged, ship, span_hashes, utf8
+from .shared import U, _BYTE, _powers, blocks, equal_spans, mix, partitions, ragged, ship, span_hashes, utf8
 
 LENGTH, GRAM = 50, 20
 HOT = 256
@@ -40,6 +40,14 @@ HOT = 256
 SLICE, ARRAY = 1 << 18, 1 << 20
 #: Text bytes among which a task drops copies before it sends.
 BATCH = 16 << 20
+#: Text bytes for which there is one hash range, one shard, and one task for either.
+TASK = 16 << 20
+
+
+def tasks_for(texts: DataFrame, text: str = "text") -> int:
+    """How many ranges and shards the texts are dealt to: by their bytes, so that a task's share stays."""
+    total = texts.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(partitions(texts.sparkSession), -(-int(total) // TASK))
 
 
 # ------------------------------------------------------------------------------------------ anchors
@@ -75,13 +83,22 @@ def anchors(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return h[own[new]], text[first], first, last
 
 
+def _pressed(raw: bytes) -> bytes:
+    """``raw`` for the shuffle: its length, and the bytes compressed."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpressed(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _planes(a: np.ndarray) -> bytes:
-    """Sorted or small 64-bit values with equal bytes side by side, for the shuffle's compression."""
-    return a.astype("<u8").view(np.uint8).reshape(len(a), 8).T.tobytes()
+    """Sorted or small 64-bit values with equal bytes side by side, compressed."""
+    return _pressed(a.astype("<u8").view(np.uint8).reshape(len(a), 8).T.tobytes())
 
 
 def _unplaned(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.ascontiguousarray(np.frombuffer(_unpressed(raw), np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
 def pieces_of(batch: pa.RecordBatch, column: int):
@@ -121,9 +138,8 @@ def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.concatenate((first, [len(h)])))
 
 
-def shared_anchors(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc_id, h, hot) of the anchors that more than one document has."""
-    ranges = 4 * partitions(docs.sparkSession)
+def shared_anchors(docs: DataFrame, ranges: int, hot: int = HOT) -> DataFrame:
+    """(doc_id, h, hot) of the anchors that more than one document has, merged in ``ranges`` ranges."""
     names = ["r", "h", "doc", "hot"]
 
     def send(batches):
@@ -164,7 +180,7 @@ def shared_anchors(docs: DataFrame, hot: int = HOT) -> DataFrame:
         return pa.table({"doc_id": d, "h": h.view(np.int64), "hot": f})
 
     sent = docs.select("doc_id", "text").mapInArrow(send, "r long, h binary, doc binary, hot binary")
-    return sent.groupBy("r").applyInArrow(merge, "doc_id long, h long, hot boolean")
+    return sent.repartition(ranges, "r").groupBy("r").applyInArrow(merge, "doc_id long, h long, hot boolean")
 
 
 # ------------------------------------------------------------------------------------ suffix arrays
@@ -297,9 +313,8 @@ def _passages(batch: pa.RecordBatch):
     return np.concatenate(keys), np.concatenate(docs_).astype(np.int64), np.concatenate(starts), np.concatenate(same), np.concatenate([x[0] for x in texts]), np.concatenate(([0], np.cumsum(size)))
 
 
-def lost_spans(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(doc_id, lo, hi): byte spans that leave a document; they may overlap."""
-    shards = 4 * partitions(docs.sparkSession)
+def lost_spans(docs: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
+    """(doc_id, lo, hi): byte spans that leave a document, found in ``shards`` shards; they may overlap."""
     names = ["r", "key", "doc", "start", "size", "bytes"]
 
     def send(batches):
@@ -311,9 +326,10 @@ def lost_spans(docs: DataFrame, shared: DataFrame) -> DataFrame:
             size = np.diff(off)
             order = np.lexsort((start, doc, same))
             first = np.concatenate(([True], same[order][1:] != same[order][:-1]))
-            low = doc[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-            gone = order[doc[order] > low]  # copies of a passage of a smaller document of this batch
-            kept = order[doc[order] == low]
+            low = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+            copy = (doc[order] > doc[low]) & (size[order] == size[low])
+            copy[copy] = equal_spans(raw, off[order[copy]], off[low[copy]], size[order[copy]])
+            gone, kept = order[copy], order[~copy]  # gone: copies, byte for byte, of a passage of a smaller document of this batch
             kept = kept[np.argsort(key[kept], kind="stable")]
             rows = []
             if len(gone):
@@ -328,7 +344,7 @@ def lost_spans(docs: DataFrame, shared: DataFrame) -> DataFrame:
             for r, (a, z) in enumerate(zip(cut[:-1], cut[1:])):
                 if z > a:
                     s = kept[a:z]
-                    rows.append((r, key[s], doc[s], start[s], size[s], raw[ragged(raw, off[s], size[s])].tobytes()))
+                    rows.append((r, key[s], doc[s], start[s], size[s], _pressed(raw[ragged(raw, off[s], size[s])].tobytes())))
             cols = [pa.array([r[0] for r in rows], pa.int64()), *(pa.array([_planes(r[c]) for r in rows], pa.binary()) for c in range(1, 5)), pa.array([r[5] for r in rows], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names)
 
@@ -340,7 +356,7 @@ def lost_spans(docs: DataFrame, shared: DataFrame) -> DataFrame:
         if table.column("r")[0].as_py() >= shards:
             return pa.table({"doc_id": doc, "lo": start, "hi": start + size})
         key = whole("key")
-        raw = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("bytes")])
+        raw = np.concatenate([np.frombuffer(_unpressed(x.as_py()), np.uint8) for x in table.column("bytes")])
         off = np.cumsum(size) - size
         order = np.argsort(key, kind="stable")
         key, doc, start, size, off = key[order], doc[order], start[order], size[order], off[order]
@@ -358,8 +374,9 @@ def lost_spans(docs: DataFrame, shared: DataFrame) -> DataFrame:
             order = np.lexsort((d, same))
             new = np.concatenate(([True], same[order][1:] != same[order][:-1]))
             low = np.empty(z - a, np.int64)
-            low[order] = d[order][np.maximum.accumulate(np.where(new, np.arange(z - a), 0))]
-            gone = d > low  # copies, byte for byte, of a passage of a smaller document
+            low[order] = order[np.maximum.accumulate(np.where(new, np.arange(z - a), 0))]
+            gone = (d > d[low]) & (n == n[low])
+            gone[gone] = equal_spans(t, (end_of - n)[gone], (end_of - n)[low[gone]], n[gone])  # copies of a passage of a smaller document
             out.append((d[gone], at[gone], at[gone] + n[gone]))
             kinds = key[a:z][order[new]]  # of an anchor with one passage nothing else can be lost
             kinds, times = np.unique(kinds, return_counts=True)
@@ -384,7 +401,7 @@ def lost_spans(docs: DataFrame, shared: DataFrame) -> DataFrame:
 
     asked = shared.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("hot"), F.col("h"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot"))
     sent = docs.select("doc_id", "text").join(asked, "doc_id").select("doc_id", "text", "cold", "hot")
-    return sent.mapInArrow(send, "r long, key binary, doc binary, start binary, size binary, bytes binary").groupBy("r").applyInArrow(judge, "doc_id long, lo long, hi long")
+    return sent.mapInArrow(send, "r long, key binary, doc binary, start binary, size binary, bytes binary").repartition(shards, "r").groupBy("r").applyInArrow(judge, "doc_id long, lo long, hi long")
 
 
 def union_spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -403,7 +420,8 @@ def with_spans(docs: DataFrame, keep: list[str] | None = None, hot: int = HOT, o
     rest = docs.select(*dict.fromkeys([*keep, "doc_id", "text"]))
     own = rest.where("doc_id is not null")  # dealt by doc_id once, for both joins, if no other column is kept
     texts = own.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = lost_spans(texts, shared_anchors(texts, hot)).groupBy(F.col("doc_id").alias("_span_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
+    tasks = tasks_for(texts)
+    spans = lost_spans(texts, shared_anchors(texts, tasks, hot), tasks).groupBy(F.col("doc_id").alias("_span_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
     names = [F.col(c) for c in dict.fromkeys([*keep, "text"])]
     done = own.join(spans, F.col("doc_id") == F.col("_span_doc"), "left").select(*names, F.col("_spans").alias(out))
     return done.unionByName(rest.where("doc_id is null").select(*names, F.lit(None).cast(done.schema[out].dataType).alias(out)))
