@@ -23,27 +23,34 @@ from .shared import cut, ship
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
-BUCKETS = 64
+#: Least number of hash buckets of a length, and rows for which there is one more.
+BUCKETS, RANKED = 64, 1 << 20
 #: The remaining budget, in words, that the knapsack programme fits.
 BUDGET = 1 << 16
 
 
-def water_fill(sizes: list[int], weights: list[float], budget: float, most: float = MOST) -> list[float]:
-    """Targets that share ``budget`` by weight, none above ``most`` times its size."""
-    target, fixed = [0.0] * len(sizes), [False] * len(sizes)
-    left = float(budget)
-    while not all(fixed):
-        total = sum(w for w, f in zip(weights, fixed) if not f)
-        for i, w in enumerate(weights):
-            if not fixed[i]:
-                target[i] = left * w / total
-        over = [i for i in range(len(sizes)) if not fixed[i] and target[i] > most * sizes[i]]
-        if not over:
-            break
-        for i in over:
-            target[i], fixed[i] = float(most * sizes[i]), True
-            left -= target[i]
-    return target
+def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """``totals`` (source, size) with target: shares of ``share`` times all sizes by weight, none above
+    ``most`` times its source's size, the excess shared again by weight.
+
+    Sources in code-point order, null last, weigh ``weights``, repeating. A source is full if its bound a
+    unit of weight is below the common level; in the order of these bounds the level follows from the sums
+    before, so two sorted passes over the sources' totals settle it, on no driver.
+    """
+    spark = totals.sparkSession
+    order = Window.orderBy(F.col("source").asc_nulls_last())
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
+    rows = cut(totals.withColumn("weight", weight).withColumn("bound", (F.lit(most) * F.col("size")).cast("double")))
+    sums = rows.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight"), F.sum("bound").alias("bound")).first()
+    budget = share * (sums["size"] or 0)
+    if not budget:
+        return rows.select("source", "size", F.lit(0.0).alias("target"))
+    full = Window.orderBy(F.col("bound") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.withColumn("full", F.coalesce(F.sum("bound").over(full), F.lit(0.0))).withColumn("spent", F.coalesce(F.sum("weight").over(full), F.lit(0.0)))
+    level = (F.lit(budget) - F.col("full")) / (F.lit(sums["weight"]) - F.col("spent"))
+    found = before.withColumn("level", level).where(F.col("level") * F.col("weight") <= F.col("bound")).agg(F.min_by("level", F.struct(F.col("bound") / F.col("weight"), "spent"))).first()[0]
+    target = F.col("bound") if found is None else F.least("bound", F.lit(found) * F.col("weight"))
+    return rows.select("source", "size", target.alias("target"))
 
 
 def fit_lengths(length: np.ndarray, count: np.ndarray, goal: int, budget: int = BUDGET) -> np.ndarray:
@@ -64,8 +71,9 @@ def fit_lengths(length: np.ndarray, count: np.ndarray, goal: int, budget: int =
         free[i] -= m
         left -= m * int(length[i])
     left = min(left, int((free * length).sum()))
-    if left > 64 * budget:  # only documents longer than this are left
-        return take
+    unit = max(1, -(-left // (64 * budget)))  # where only very long documents are left, in words rounded up
+    words, left = length, left // unit
+    length = -(-length // unit)
     by = np.full(left + 1, -1, np.int32)
     by[0] = -2
     parts: list[tuple[int, int]] = []
@@ -88,38 +96,47 @@ def fit_lengths(length: np.ndarray, count: np.ndarray, goal: int, budget: int =
         i, k = parts[by[s]]
         take[i] += k
         s -= k * int(length[i])
+    assert (take * words).sum() <= goal
     return take
 
 
-def mixed(docs: DataFrame, seed: int = 42, weights=WEIGHTS, share: float = SHARE, most: int = MOST, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, size, source_size, target, copies and taken for each row of ``docs`` (doc_id, text, source).
+def nearest(length: np.ndarray, count: np.ndarray, take: np.ndarray, goal: int) -> np.ndarray:
+    """``take``, with one document more where that comes nearer to ``goal`` from above."""
+    gap = goal - int((take * length).sum())
+    free = np.flatnonzero((count > take) & (length > 0) & (length < 2 * gap))
+    if len(free):
+        take = take.copy()
+        take[free[np.argmin(np.abs(length[free] - gap))]] += 1
+    return take
 
-    The sources' totals, a row for each source, are collected to share out the budget.
-    """
+
+def mixed(docs: DataFrame, seed: int = 42, weights=WEIGHTS, share: float = SHARE, most: int = MOST, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, size, source_size, target, copies and taken for each row of ``docs`` (doc_id, text, source)."""
     spark = docs.sparkSession
     ship(spark)
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     key = F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))
-    rows = docs.select(*keep, F.col("source").alias("_source"), size.alias("size"), key.alias("_h")).withColumn("_b", F.pmod("_h", F.lit(BUCKETS)))
+    rows = docs.select(*keep, F.col("source").alias("_source"), size.alias("size"), key.alias("_h"))
     if "text" in keep:  # texts stay out of the checkpoint
-        light = cut(rows.select("_source", "size", "_b"))
+        light = cut(rows.select("_source", "size", "_h"))
     else:
         light = rows = cut(rows)
-    totals = sorted(((r[0], r[1]) for r in light.groupBy("_source").agg(F.sum("size")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
-    sizes = [n for _, n in totals]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), most)
-    shares = spark.createDataFrame([(s, n, t) for (s, n), t in zip(totals, targets)], "_source string, source_size long, target double")
+    buckets = F.pmod("_h", F.lit(max(BUCKETS, -(-light.count() // RANKED))))
+    rows, light = rows.withColumn("_b", buckets), light.withColumn("_b", buckets)
+    totals = targets(light.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("size")), weights, share, most)
+    shares = cut(totals.select(F.col("source").alias("_source"), F.col("size").alias("source_size"), "target"))
 
     cells = light.groupBy("_source", "size", "_b").agg(F.count("*").alias("n"))
     lengths = cells.groupBy("_source", "size").agg(F.sum("n").alias("n"))
-    plan = lengths.join(F.broadcast(shares), lengths["_source"].eqNullSafe(shares["_source"])).drop(shares["_source"])
+    plan = lengths.join(shares, lengths["_source"].eqNullSafe(shares["_source"])).drop(shares["_source"])
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size", kind="stable").reset_index(drop=True)
         total, goal = int(pdf["source_size"].iloc[0]), int(pdf["target"].iloc[0])
         whole = goal // total if total else 0
         pdf["whole"] = whole
-        pdf["more"] = fit_lengths(pdf["size"].to_numpy(), pdf["n"].to_numpy(), goal - whole * total)
+        size, n = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
+        pdf["more"] = nearest(size, n, fit_lengths(size, n, goal - whole * total), goal - whole * total)
         return pdf[["_source", "size", "source_size", "target", "whole", "more"]]
 
     plan = cut(plan.groupBy("_source").applyInPandas(choose, "_source string, size long, source_size long, target double, whole long, more long"))
