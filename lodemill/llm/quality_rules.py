@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import U, WHITE, blocks, gram_hashes, mix, ship, span_hashes, utf8, word_spans
+from .shared import blocks, ragged, ship, utf8, word_spans
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_code_points")
 
@@ -30,17 +30,19 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
-_ROW = U(0x8CB92BA72F3D8DD7)
 
 
-def _repeated(key: np.ndarray) -> np.ndarray:
-    """Which elements occur twice or more."""
-    s = np.sort(key)
-    twice = np.unique(s[1:][s[1:] == s[:-1]])
-    if not len(twice):
-        return np.zeros(len(key), bool)
-    at = np.minimum(np.searchsorted(twice, key), len(twice) - 1)
-    return twice[at] == key
+def _kinds(b: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A number for each b[lo:hi], the same for equal bytes and no others."""
+    size = hi - lo
+    off = np.concatenate(([0], np.cumsum(size)))
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lo), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(b[ragged(b, lo, size)])])
+    return spans.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair (a[i], b[i]) of numbers below 2**31, the same for equal pairs and no others."""
+    return np.unique((a << 31) | b, return_inverse=True)[1].astype(np.int64)
 
 
 def _sums(flag: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -61,16 +63,16 @@ def block_stats(b: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     worded = np.searchsorted(starts, hi) > np.searchsorted(starts, lo)
     lo, hi, row = lo[worded], hi[worded], row[worded]
     out["n_lines"] = np.bincount(row, minlength=n)
-    key = mix(span_hashes(b, lo, hi) + row.astype(np.uint64) * _ROW)
-    again = _repeated(key)
-    _, at, times = np.unique(key[again], return_index=True, return_counts=True)
-    out["n_dup_lines"] = np.bincount(row[again][at], weights=times - 1, minlength=n).astype(np.int64)
+    kind = _pairs(row, _kinds(b, lo, hi))  # equal lines of a text
+    first_of = np.unique(kind, return_index=True)[1]
+    out["n_dup_lines"] = np.bincount(row, minlength=n) - np.bincount(row[first_of], minlength=n)
     covered = np.zeros(len(starts), bool)
     if len(starts) >= 3:
         word_row = np.repeat(np.arange(n), np.diff(first))
-        gram = gram_hashes(span_hashes(b, starts, ends), 3)
-        own = word_row[:-2] == word_row[2:]
-        twice = np.flatnonzero(own)[_repeated(mix(gram[own] + word_row[:-2][own].astype(np.uint64) * _ROW))]
+        word = _kinds(b, starts, ends)
+        at = np.flatnonzero(word_row[:-2] == word_row[2:])
+        window = _pairs(word_row[at], _pairs(_pairs(word[at], word[at + 1]), word[at + 2]))
+        twice = at[np.bincount(window)[window] > 1] if len(at) else at
         for k in range(3):
             covered[twice + k] = True
     out["n_repeat_words"] = _sums(covered, first)
@@ -202,12 +204,15 @@ def learn(frame: pd.DataFrame, bad: np.ndarray, *, precision: float = 0.98, supp
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, text: str = "text") -> pd.DataFrame:
-    """Features and quality of at most ``most`` labelled documents, the first by a hash of their id."""
+    """Features and quality of at most ``most`` labelled documents, the first by a hash of their id; of rows
+    that share an id, the one with the smallest statistics."""
     pick = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("label_quality"))
     pick = pick.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most ``most`` rows: small enough to broadcast
     rows = with_stats(docs.select("doc_id", text).join(F.broadcast(pick), "doc_id"), text, ["doc_id", "label_quality"])
     rows = rows.select("doc_id", "label_quality", F.col("stats.n_words").alias("n_words"), *(c.alias(n) for n, c in feature_columns().items()))
-    return rows.limit(2 * most).toPandas().sort_values(["doc_id", "n_words", *(n for n, _, _ in FEATURES)], kind="stable").reset_index(drop=True)
+    names = [c for c in rows.columns if c != "doc_id"]
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(*names)).alias("one")).select("doc_id", "one.*")  # a row for each id
+    return rows.toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
 
 
 def base_failed(stats: str = "stats") -> Column:

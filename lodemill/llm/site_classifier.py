@@ -103,7 +103,8 @@ def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
                 own = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), xs, lists], ["doc_id", "bad", "toxic", "x", "words"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("doc_id", "bad", "toxic", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id")
+    rows = rows.groupBy("doc_id", "bad", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))  # a text for each id
     return rows.mapInArrow(run, "doc_id long, bad int, toxic int, x array<double>, words array<long>")
 
 
@@ -111,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[Head,
     """Heads for low quality and for toxicity."""
     ship(docs.sparkSession)
     rows = cut(_sampled(docs, labels, sample).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3))))
-    stats = rows.select("doc_id", "bad", "toxic", "fold", "x").limit(2 * sample).toPandas().sort_values("doc_id", kind="stable")
+    stats = rows.select("doc_id", "bad", "toxic", "fold", "x").toPandas().sort_values("doc_id", kind="stable")
     heads = []
     for name in ("bad", "toxic"):
         head = Head()
@@ -142,14 +143,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[Head,
             n = np.bincount(at[y == 1], minlength=len(e) + 1), np.bincount(at[y == 0], minlength=len(e) + 1)
             head.edges.append(e)
             head.bins.append(np.log((n[0] + 1) / (n1 + len(e) + 1)) - np.log((n[1] + 1) / (n0 + len(e) + 1)))
-        calibrate(head, rows.where("fold = 2"), name, sample)
+        calibrate(head, rows.where("fold = 2"), name)
     return heads[0], heads[1]
 
 
-def calibrate(head: Head, rows: DataFrame, name: str, sample: int) -> None:
+def calibrate(head: Head, rows: DataFrame, name: str) -> None:
     """Fit the weights of word and bin evidence on held-back rows."""
     kept = F.filter("words", lambda w: F.array_contains(F.lit(head.words.tolist()), w)) if 0 < len(head.words) <= 512 else F.col("words")
-    held = rows.where(F.col(name).isNotNull()).select("doc_id", name, "x", kept.alias("words")).limit(2 * sample).toPandas().sort_values("doc_id", kind="stable")
+    held = rows.where(F.col(name).isNotNull()).select("doc_id", name, "x", kept.alias("words")).toPandas().sort_values("doc_id", kind="stable")
     if held[name].nunique() < 2:
         head.weights = np.array([np.log(max(head.rate, 1e-6) / max(1 - head.rate, 1e-6)), 1.0, 1.0])
         return

@@ -245,10 +245,50 @@ def test_graph_recall(spark):
     assert same == list(range(1200, 1210))  # equal vectors: ties to the smaller id
 
 
+@pytest.mark.parametrize("shift,scale", [(0, 1), (1e4, 1), (0, 1e20), (0, 1e-30), (1e4, 1e200)])
+def test_graph_recall_far_and_large(spark, shift, scale):
+    rng = np.random.default_rng(1)
+    v = (rng.normal(0, 1, (900, 24)) + shift) * scale
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    clean = ann._clean(df, "vec_id", "embedding")
+    got = ann.search_index(ann.build_index(clean, 300), clean.where("vec_id % 100 = 0")).toPandas()
+    unit = v / scale
+    hit = sum(len(set(g["vec_id"]) & set(brute(unit, np.arange(900), q))) for q, g in got.groupby("query_id"))
+    assert len(got) == 90 and hit >= 81
+    want = [np.sqrt(((unit[a] - unit[b]) ** 2).sum()) * scale for a, b in zip(got["query_id"], got["vec_id"])]
+    assert np.allclose(got["score"], want, rtol=1e-6)
+
+
+def test_repeated_query_rows(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(0, 1, (300, 8))
+    rows = [(i, r.tolist()) for i, r in enumerate(v)] + [(100, v[100].tolist()), (200, (v[200] + 0.5).tolist())]
+    clean = ann._clean(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = ann.search_index(ann.build_index(clean, 100), clean.where("vec_id % 100 = 0")).toPandas()
+    assert sorted(g["query_id"].iloc[0] for _, g in got.groupby("query_row")) == [0, 100, 100, 200, 200]
+    ids, places = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for own in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((places - places[own]) ** 2).sum(axis=1))
+        want = sorted((x, i) for k, (x, i) in enumerate(zip(d.tolist(), ids.tolist())) if k != own)[:10]
+        mine = [[(s, i) for s, i in zip(g["score"], g["vec_id"])] for _, g in got[got["query_id"] == ids[own]].sort_values("rank").groupby("query_row")]
+        assert any(all(a[1] == b[1] and abs(a[0] - b[0]) < 1e-9 for a, b in zip(m, want)) and len(m) == 10 for m in mine)
+    assert got[got["query_id"] == 100].groupby("query_row")["vec_id"].first().tolist() == [100, 100]  # its other row
+
+
+def test_op2_query(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    v = rng.normal(0, 1, (700, 12)).astype(np.float32)
+    spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(v)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = ann.op2_ann_graph(spark, str(tmp_path))
+    assert got.columns == ["query_id", "rank", "vec_id", "score"] and dict(got.dtypes)["rank"] == "int"
+    hit = sum(len(set(g["vec_id"]) & set(brute(v.astype(float), np.arange(700), q))) for q, g in got.toPandas().groupby("query_id"))
+    assert hit >= 0.9 * 70
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = ann.search_index(ann.build_index(df.select("vec_id", F.col("embedding").alias("v"))), df.where("vec_id = 0").select("vec_id", F.col("embedding").alias("v"))).collect()
-    assert [tuple(r) for r in got] == [(0, 1, 1, math.sqrt(2))]
+    assert [tuple(r)[:4] for r in got] == [(0, 1, 1, math.sqrt(2))]
     none = ann._clean(df.limit(0), "vec_id", "embedding")
     assert ann.search_index(ann.build_index(none), none).count() == 0
 
@@ -626,10 +666,40 @@ def test_op7_query(spark, tmp_path, ids):
 # --------------------------------------------------------------------------------------- 9: mixing
 
 
-def test_water_fill():
-    got = mixing.water_fill([100, 10, 1000], [5, 2, 1], 1.5 * 1110)
-    assert got[0] == 200 and got[1] == 20 and abs(sum(got) - 1665) < 1e-9
-    assert mixing.water_fill([0, 0], [5, 2], 0) == [0, 0] and mixing.water_fill([], [], 0) == []
+def water_fill(sizes, weights, budget, most=2):
+    """Targets by sharing again and again, as the rule says it."""
+    target, fixed, left = [0.0] * len(sizes), [False] * len(sizes), float(budget)
+    while not all(fixed):
+        total = sum(w for w, f in zip(weights, fixed) if not f)
+        for i, w in enumerate(weights):
+            if not fixed[i]:
+                target[i] = left * w / total
+        over = [i for i in range(len(sizes)) if not fixed[i] and target[i] > most * sizes[i]]
+        if not over:
+            break
+        for i in over:
+            target[i], fixed[i] = float(most * sizes[i]), True
+            left -= target[i]
+    return target
+
+
+def test_targets(spark):
+    rng = random.Random(7)
+    cases = [[100, 10, 1000], [0, 0], [5], [0, 7, 0], [3, 3, 3, 3, 3, 3], *([int(rng.paretovariate(0.5)) for _ in range(rng.randrange(1, 30))] for _ in range(8))]
+    for sizes in cases:
+        names = sorted(f"s{i:02}é" for i in range(len(sizes) - 1)) + [None]
+        totals = spark.createDataFrame(list(zip(names, sizes)), "source string, size long")
+        got = {r["source"]: r["target"] for r in mixing.targets(totals).collect()}
+        want = water_fill(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))], 1.5 * sum(sizes))
+        assert np.allclose([got[n] for n in names], want)
+    assert mixing.targets(spark.createDataFrame([], "source string, size long")).count() == 0
+
+
+def test_fit_of_very_long_documents():
+    length, count = np.array([1000, 1003, 5000]), np.array([40, 40, 10])
+    for goal in (60_000, 90_001, 120_000):
+        take = mixing.fit_lengths(length, count, goal, budget=8)
+        assert 0.9 * goal < (take * length).sum() <= goal and (take <= count).all()
 
 
 @pytest.mark.parametrize("budget", [1 << 16, 40])
@@ -684,6 +754,71 @@ def test_statistics(docs, empty):
     assert quality_rules.with_stats(empty, keep=["doc_id"]).count() == 0
 
 
+def thue_morse(n=10):
+    """Two different words of 2**n letters that sums of powers modulo 2**64 cannot tell apart."""
+    w = "a"
+    for _ in range(n):
+        w += "".join("b" if c == "a" else "a" for c in w)
+    return w, "".join("b" if c == "a" else "a" for c in w)
+
+
+def test_different_texts_are_not_equal(spark):
+    a, b = thue_morse()
+    rest = [f"r{i}" for i in range(60)]
+    texts = [f"{a}\n{b}", " ".join([a, *rest]), " ".join([b, *rest]), " ".join([a] * 6), " ".join([b] * 6), f"{a} x y {b} x y", a, b]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r["stats"])[:5] for r in quality_rules.with_stats(docs, keep=["doc_id"]).collect()}
+    assert got == {i: brute_stats(t) for i, t in enumerate(texts)} and got[0][3] == 0
+    groups = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs).collect()}
+    assert groups == {i: c for i, (_, c) in brute_groups(list(enumerate(texts))).items()}
+    want = brute_removed(list(enumerate(texts)))
+    for r in suffix_dedup.with_spans(docs, ["doc_id"]).collect():
+        raw, gone = want[r["doc_id"]]
+        assert suffix_dedup._kept(raw, r["removed"])[0] == np.frombuffer(raw, np.uint8)[~gone].tobytes()
+
+
+def test_lookalikes_below_the_threshold():
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 1 << 62, 36)
+    sets = [np.sort(np.concatenate((base, rng.integers(0, 1 << 62, 24)))).astype(np.uint64) for _ in range(3000)]
+    sets += [sets[7], np.sort(np.append(sets[7], np.uint64(5)))]
+    got = near_dup.components_of_sets(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets]))))
+    assert got[:3000].tolist() == list(range(3000)) and got[3000:].tolist() == [7, 7]
+
+
+def test_op3_op6_op9_op10_queries(spark, tmp_path):
+    rows = corpus(4, 60)
+    long_ = " ".join(words(random.Random(11), 400_000, 5000))  # above BLOCK
+    rows += [(200, long_, None, "s1", None, None, None, None), (201, long_ + " end", None, "s1", None, None, None, None)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 6 != 3), 0) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    texts = [(r[0], r[1]) for r in rows]
+    got = {r["doc_id"]: r for r in near_dup.op3_near_dup(spark, str(tmp_path)).collect()}
+    groups = brute_groups(texts)
+    assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (n, c, c == i) for i, (n, c) in groups.items()}
+    want = brute_removed(texts)
+    for r in suffix_dedup.op6_suffix_dedup(spark, str(tmp_path)).collect():
+        raw, gone = want[r["doc_id"]]
+        runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (len(raw), int(gone.sum()), runs)
+        assert r["kept_sha256"] == hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()
+    for r in quality_rules.op10_quality_rules(spark, str(tmp_path)).collect():
+        s = brute_stats(dict(texts)[r["doc_id"]])
+        failed = s[0] < 50 or 100 * s[4] > 50 * s[0]
+        assert tuple(r)[:5] == (r["doc_id"], *s[:4]) and r["n_repeat_words"] == s[4] and r["base_failed"] == failed and not (failed and r["kept"])
+    mix = mixing.op9_mixing(spark, str(tmp_path)).toPandas()
+    sizes = {i: len(WORD.findall(t or "")) for i, t in texts}
+    assert {r.doc_id: r.size for r in mix.itertuples()} == sizes and (mix["taken"] <= 2 * mix["size"]).all()
+    source = {r[0]: r[3] for r in rows}
+    names = sorted({s for s in source.values() if s is not None}) + [None]
+    of = [sum(sizes[i] for i in sizes if source[i] == s) for s in names]
+    goal = dict(zip(names, water_fill(of, [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5 * sum(of))))
+    for r in mix.itertuples():
+        assert abs(r.target - goal[source[r.doc_id]]) < 1e-6 * max(1, r.target)
+    for s in names:
+        assert abs(sum(r.taken for r in mix.itertuples() if source[r.doc_id] == s) - goal[s]) < 100
+
+
 def test_statistics_of_random_bytes():
     rng = random.Random(8)
     texts = ["".join(rng.choice("ab \n\t#é\x0b") for _ in range(rng.randrange(0, 120))) for _ in range(400)]
