@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet to the
 shared folder and gives it, read again, to the next. All stages but the last return the columns of
-``documents``. Rows with a null doc_id pass the stages that compare documents by id untouched.
+``documents``; other columns are left out by the first. Near duplicates are documents whose sets of
+five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Defined results: a null, empty or blank text fails the base rule and goes; rows with a null doc_id pass
+the stages that compare documents by id untouched; rows that share a doc_id stay or go together as near
+duplicates and do not repeat one another; ties go to the smallest doc_id; a document the mix takes twice
+is two rows; without labels only the base rule rejects; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of every group of near duplicates."""
     docs = docs.select(*COLUMNS)
-    gone = near_dup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    gone = near_dup.near_duplicates(docs, percent=80).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
