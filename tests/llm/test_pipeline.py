@@ -27,7 +27,7 @@ def test_stages(spark, tables, tmp_path):
     base = {r[0] for r in rows if (s := brute_stats(r[1]))[0] >= 50 and 100 * s[4] <= 50 * s[0]}
     assert kept <= base and len(kept) > 0.5 * len(base)
     texts = {r["doc_id"]: r["text"] for r in seen["quality_rules"].collect()}
-    groups = brute_groups(list(texts.items()))
+    groups = brute_groups(list(texts.items()), 80)
     alone = {r["doc_id"] for r in seen["near_duplicates"].collect()}
     assert alone == {i for i, (_, c) in groups.items() if i == c} and len(alone) < len(kept)
     want = {i: np.frombuffer(b, np.uint8)[~g].tobytes().decode("utf-8", "ignore") for i, (b, g) in brute_removed([(i, texts[i]) for i in alone]).items()}
