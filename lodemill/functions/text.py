@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from decimal import Decimal
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, StringType
 
 #: Words, or single signs that are neither word characters nor white space.
 SIMPLE_TOKEN = r"(?U)\w+|[^\w\s]"
-STEP_TOKEN = r"#\d+|'(?:[^']|'')*'|[-+]?\d+\.?\d*(?:[eE][-+]?\d+)?|\.[A-Z_0-9]+\.|[A-Z_][A-Z_0-9]*|[(),;=$*]"
+#: Tokens of exchange-structure text, first alternative first: fixed values.
+STEP_TOKEN = r"\[/?[A-Z]+\]|#\d+|[A-Z_][A-Z0-9_]*|-?\d+\.?\d*(?:[Ee][+-]?\d+)?|\.[A-Z_]+\.|'[^']*'|[=(),;]|\$|\*"
 ENTITY = r"(?s)^\s*#(\d+)\s*=\s*([A-Za-z_][A-Za-z_0-9]*)\s*\((.*)\)\s*;?\s*$"
 
 
@@ -39,6 +46,40 @@ def encode_tokens(tokens, vocab: Column, vocab_size: int) -> Column:
     return F.transform(c(tokens), lambda t: F.coalesce(F.try_element_at(vocab, t), md5_token_id(t, vocab_size)))
 
 
+def decode_tokens(ids, vocab: Column, unknown: str = "<UNK>") -> Column:
+    """Tokens of an array of ids, from the inverse of the map ``vocab``, with blanks between."""
+    back = F.map_from_entries(F.transform(F.map_entries(vocab), lambda e: F.struct(e["value"], e["key"])))
+    return F.array_join(F.transform(c(ids), lambda i: F.coalesce(F.try_element_at(back, i), F.lit(unknown))), " ")
+
+
+def stable_hash(value, modulo: int | None = None) -> Column:
+    """The 64-bit BLAKE2b of a text as a big-endian number, or its remainder."""
+
+    @F.pandas_udf(DecimalType(20, 0))
+    def blake(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else Decimal(int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "big")))
+
+    h = blake(c(value))
+    return h if modulo is None else (h % F.lit(modulo).cast("decimal(20,0)")).cast("long")
+
+
+FLOAT = r"[-+]?(?:\d+\.\d*|\.\d+)(?:[eE][-+]?\d+)?"
+
+
+def normal_floats(text, precision: int = 6) -> Column:
+    """A text with its decimal numbers at ``precision`` significant digits, without trailing zeros but with a point."""
+
+    @F.pandas_udf(StringType())
+    def run(values: pd.Series) -> pd.Series:
+        def one(m):
+            out = f"{float(m[0]):.{precision}g}"
+            return out if "." in out or "e" in out else out + ".0"
+
+        return values.map(lambda v: None if v is None else re.sub(FLOAT, one, v))
+
+    return run(c(text))
+
+
 def frame_ids(ids, length: int, cls_id: int, sep_id: int, pad_id: int = 0) -> Column:
     """CLS + ids + SEP, cut to ``length`` (which may cut SEP) and padded."""
     full = F.slice(F.concat(F.array(F.lit(cls_id).cast("long")), c(ids), F.array(F.lit(sep_id).cast("long"))), 1, length)
@@ -76,38 +117,66 @@ def normal_value(value) -> Column:
     return F.translate(F.lower(F.trim(c(value))), " -_", "")
 
 
-QUESTION_WORDS = ("what", "how", "why", "when", "where", "which", "who", "whose", "whom", "is", "are", "can", "could", "does", "do", "did", "will", "would", "should")
+#: Prefixes that a generated question or answer loses, one after the other: fixed values.
+QUESTION_PREFIXES = ("Question:", "Q:", "Here is a question:", "Generated question:")
+ANSWER_PREFIXES = ("Answer:", "A:", "Here is the answer:", "Generated answer:", "Based on the context,", "According to the CAD data,")
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _without(text: Column, prefixes: tuple[str, ...]) -> Column:
+    """``text`` stripped, without each of ``prefixes`` in turn, whatever their case."""
+    out = _stripped(text)
+    for p in prefixes:
+        out = F.regexp_replace(out, rf"(?is)^{re.escape(p)}\s*", "")
+    return out
 
 
 def clean_question(text) -> Column:
-    """Prefixes such as ``Q:`` or ``1.`` off, white space trimmed, a question mark at the end."""
-    t = F.trim(F.regexp_replace(F.trim(c(text)), r"(?i)^(?:question|q)?\s*\d*\s*[:.)\-]\s*", ""))
-    return F.when(t == "", t).when(t.endswith("?"), t).otherwise(F.concat(F.regexp_replace(t, r"[.!]+$", ""), F.lit("?")))
+    """Without the usual prefixes, with a question mark at the end; null below 10 characters."""
+    t = _without(c(text), QUESTION_PREFIXES)
+    t = F.when(t.endswith("?") | (t == ""), t).otherwise(F.concat(t, F.lit("?")))
+    return F.when(F.length(t) >= 10, t)
 
 
-def is_question(text) -> Column:
-    """At least 10 characters, and a question mark or an interrogative first word."""
-    first = F.lower(F.regexp_extract(F.trim(c(text)), r"^(\w+)", 1))
-    return (F.length(F.trim(c(text))) >= 10) & (F.trim(c(text)).endswith("?") | first.isin(*QUESTION_WORDS))
+def clean_answer(text) -> Column:
+    """Without the usual prefixes; a null answer is empty."""
+    return F.coalesce(_without(c(text), ANSWER_PREFIXES), F.lit(""))
 
 
 def parse_critique(text) -> Column:
-    """struct(rating 1..5, evaluation, suggestions) of a ``RATING: … EVALUATION: … SUGGESTIONS: …`` reply."""
-    t = c(text)
-    rating = F.regexp_extract(t, r"(?i)RATING\s*:\s*(-?\d+)", 1).try_cast("int")
-    evaluation = F.trim(F.regexp_extract(t, r"(?is)EVALUATION\s*:\s*(.*?)\s*(?:SUGGESTIONS\s*:|$)", 1))
-    hints = F.trim(F.regexp_extract(t, r"(?is)SUGGESTIONS\s*:\s*(.*)$", 1))
-    return F.struct(F.least(F.greatest(rating, F.lit(1)), F.lit(5)).alias("rating"), F.when(evaluation != "", evaluation).alias("evaluation"), F.when((hints != "") & ~F.lower(hints).isin("none", "n/a", "-"), hints).alias("suggestions"))
+    """struct(rating 1..5, evaluation, suggestions) of a reply with the fields RATING, EVALUATION, SUGGESTIONS.
+
+    A field starts a line and the last of a name counts; the rating is the first digits of its line; the
+    others go on over the non-empty lines that follow. Suggestions "none", "n/a" and "-" are null.
+    """
+    lines = F.filter(F.transform(F.split(_stripped(c(text)), "\n"), _stripped), lambda x: x != "")
+    start = F.struct(F.lit(None).cast("int").alias("rating"), F.lit(None).cast("string").alias("evaluation"), F.lit(None).cast("string").alias("suggestions"), F.lit("").alias("field"))
+
+    def step(s, line):
+        name = F.upper(F.regexp_extract(line, r"(?i)^(RATING|EVALUATION|SUGGESTIONS):", 1))
+        rest = _stripped(F.regexp_replace(line, r"(?s)^[^:]*:", ""))
+        number = F.regexp_extract(rest, r"[0-9]+", 0)
+        rating = F.when((name == "RATING") & (number != ""), F.least(F.greatest(number.try_cast("decimal(38,0)"), F.lit(1)), F.lit(5)).cast("int")).otherwise(s["rating"])
+        evaluation = F.when(name == "EVALUATION", rest).when((name == "") & (s["field"] == "EVALUATION"), F.concat(F.coalesce(s["evaluation"], F.lit("")), F.lit("\n"), line)).otherwise(s["evaluation"])
+        hints = F.when(name == "SUGGESTIONS", F.when(~F.lower(rest).isin("none", "n/a", "-"), rest)).when((name == "") & (s["field"] == "SUGGESTIONS"), F.concat(s["suggestions"], F.lit("\n"), line)).otherwise(s["suggestions"])
+        return F.struct(rating.alias("rating"), evaluation.alias("evaluation"), hints.alias("suggestions"), F.when(name == "", s["field"]).otherwise(name).alias("field"))
+
+    return F.aggregate(lines, start, step, lambda s: F.struct(s["rating"], s["evaluation"], s["suggestions"]))
 
 
-def code_signature(code) -> Column:
-    """SHA-256 of code without comments and white space."""
-    return F.sha2(F.regexp_replace(F.regexp_replace(c(code), r"(?m)#.*$", ""), r"\s+", ""), 256)
+def code_hashes(name, args, body) -> Column:
+    """struct(sig_hash, body_hash): the first 8 digits of the MD5 of ``name(arg, arg)`` and of the body's first 10 lines."""
+    signature = F.concat(c(name), F.lit("("), F.array_join(c(args), ", "), F.lit(")"))
+    first = F.array_join(F.slice(F.split(c(body), "\n"), 1, 10), "\n")
+    return F.struct(*(F.substring(F.md5(x.cast("binary")), 1, 8).alias(n) for n, x in (("sig_hash", signature), ("body_hash", first))))
 
 
 def hashed_embedding(text, dims: int = 64) -> Column:
     """Hashed words of the text, one dimension each for up to ``dims``, scaled to norm 1 (0 stays 0)."""
-    words = F.slice(F.filter(F.split(F.lower(c(text)), r"\s+"), lambda w: w != ""), 1, dims)
+    words = F.slice(F.filter(F.split(c(text), r"\s+"), lambda w: w != ""), 1, dims)
     value = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) - 0.5)
     full = F.concat(value, F.array_repeat(F.lit(0.0), F.lit(dims) - F.size(value)))
     norm = F.sqrt(F.aggregate(full, F.lit(0.0), lambda a, x: a + x * x))

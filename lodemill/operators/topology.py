@@ -59,15 +59,27 @@ def validated(entities: DataFrame, listed: int = 10) -> DataFrame:
     return out.withColumn("dangling", F.coalesce("dangling", F.lit(0))).withColumn("valid", F.col("dangling") == 0)
 
 
-def importance(entities: DataFrame, weights: dict[str, float], default: float = 0.3) -> DataFrame:
-    """file, id, 0.5 of the type's weight, 0.3 of the degree by the file's greatest, 0.2 of half a level."""
+#: Weights of entity types in their importance, others count 0.4: fixed values.
+TYPE_WEIGHTS = {"MANIFOLD_SOLID_BREP": 1.0, "CLOSED_SHELL": 0.9, "OPEN_SHELL": 0.85, "FACE_SURFACE": 0.7, "ADVANCED_FACE": 0.7, "EDGE_CURVE": 0.5, "ORIENTED_EDGE": 0.5, "VERTEX_POINT": 0.3, "CARTESIAN_POINT": 0.2}
+
+
+def importance(entities: DataFrame, weights: dict[str, float] = TYPE_WEIGHTS, default: float = 0.4, levels: DataFrame | None = None) -> DataFrame:
+    """file, id, importance: 0.5 of the type's weight, 0.3 of the connectivity (0.6 of the in-degree and 0.4 of
+    the out-degree, by the file's greatest) and 0.2 of the level (file, id, level) by the file's greatest, or
+    of a half where that is 0."""
     table = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))
     r = references(entities)
-    degree = r.select("file", F.col("src").alias("id")).unionByName(r.select("file", F.col("dst").alias("id"))).groupBy("file", "id").agg(F.count("*").alias("d"))
-    top = degree.groupBy("file").agg(F.max("d").alias("m"))
-    e = entities.select("file", "id", "type").join(degree, ["file", "id"], "left").join(top, "file", "left")
-    share = F.coalesce(F.col("d") / F.col("m"), F.lit(0.0))
-    return e.select("file", "id", (0.5 * F.coalesce(F.try_element_at(table, F.col("type")), F.lit(default)) + 0.3 * share + 0.2 * 0.5).alias("importance"))
+    in_, out = (r.groupBy("file", F.col(end).alias("id")).agg(F.count("*").alias(n)) for end, n in (("dst", "n_in"), ("src", "n_out")))
+    e = entities.select("file", "id", "type").join(in_, ["file", "id"], "left").join(out, ["file", "id"], "left")
+    e = e.join(levels.select("file", "id", "level"), ["file", "id"], "left") if levels is not None else e.withColumn("level", F.lit(0))
+    most = e.groupBy("file").agg(*(F.max(F.coalesce(n, F.lit(0))).alias(f"most_{n}") for n in ("n_in", "n_out", "level")))
+
+    def share(n):
+        return F.coalesce(F.col(n) / F.when(F.col(f"most_{n}") > 0, F.col(f"most_{n}")), F.lit(0.0))
+
+    level = F.when(F.col("most_level") > 0, share("level")).otherwise(0.5)
+    score = 0.5 * F.coalesce(F.try_element_at(table, F.col("type")), F.lit(default)) + 0.3 * (0.6 * share("n_in") + 0.4 * share("n_out")) + 0.2 * level
+    return e.join(most, "file").select("file", "id", score.alias("importance"))
 
 
 def rewritten(entities: DataFrame, ids: DataFrame, params: str = "params") -> DataFrame:

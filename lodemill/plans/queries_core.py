@@ -205,13 +205,30 @@ def q_split_boundaries(spark, sf_dir):
     return rows.select("item_id", F.col("w").cast("long").alias("w"), F.size("part").cast("long").alias("n"), F.array_join("part", " ").alias("piece"))
 
 
-@query("q_clean_questions", r"""
-SELECT conv_id, turn, CASE WHEN t = '' OR t LIKE '%?' THEN t ELSE regexp_replace(t, '[.!]+$', '') || '?' END AS question FROM (
- SELECT conv_id, turn, trim(regexp_replace(trim(text), '^(?:question|q)?\s*\d*\s*[:.)\-]\s*', '', 'i')) AS t FROM conversations WHERE role = 'user')""")
+_CLEAN = r"""
+SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations WHERE role = '{}'"""
+
+
+def _prefixes(t: str, prefixes: tuple[str, ...]) -> str:
+    for p in prefixes:
+        t = f"CASE WHEN starts_with(lower({t}), '{p.lower()}') THEN regexp_replace(substr({t}, {len(p) + 1}), '^\\s+', '') ELSE {t} END"
+    return t
+
+
+@query("q_clean_questions", f"""
+WITH a AS ({_CLEAN.format('user')}), b AS (SELECT conv_id, turn, {_prefixes('t', ('Question:', 'Q:'))} AS t FROM a), d AS (SELECT conv_id, turn, {_prefixes('t', ('Here is a question:', 'Generated question:'))} AS t FROM b),
+e AS (SELECT conv_id, turn, CASE WHEN t = '' OR t LIKE '%?' THEN t ELSE t || '?' END AS t FROM d) SELECT conv_id, turn, CASE WHEN length(t) >= 10 THEN t END AS question FROM e""")
 def q_clean_questions(spark, sf_dir):
     return T(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", tx.clean_question("text").alias("question"))
 
 
+@query("q_clean_answers", f"""
+WITH a AS ({_CLEAN.format('assistant')}), b AS (SELECT conv_id, turn, {_prefixes('t', ('Answer:', 'A:'))} AS t FROM a), d AS (SELECT conv_id, turn, {_prefixes('t', ('Here is the answer:', 'Generated answer:'))} AS t FROM b)
+SELECT conv_id, turn, {_prefixes('t', ('Based on the context,', 'According to the CAD data,'))} AS answer FROM d""")
+def q_clean_answers(spark, sf_dir):
+    return T(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", tx.clean_answer("text").alias("answer"))
+
+
 @query("q_parse_refs", r"""
 SELECT page_id, count(*) AS n_links, count(DISTINCT href) AS n_distinct FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) GROUP BY page_id""")
 def q_parse_refs(spark, sf_dir):

@@ -86,13 +86,15 @@ def q_rule_violations(spark, sf_dir):
 
 
 @query("q_findings", """
-WITH f AS (SELECT o_custkey, CASE WHEN o_totalprice > 400000 THEN 'critical' WHEN o_totalprice > 300000 THEN 'error' WHEN o_totalprice > 200000 THEN 'warning' ELSE 'info' END AS s, o_orderpriority AS c FROM orders)
-SELECT o_custkey, CASE WHEN count(*) FILTER (s = 'critical') > 0 THEN 'critical' WHEN count(*) FILTER (s = 'error') > 0 THEN 'error' WHEN count(*) FILTER (s = 'warning') > 0 THEN 'warning' ELSE 'info' END AS overall,
-count(*) FILTER (s = 'critical') AS critical, count(*) FILTER (s = 'error') AS error, count(*) FILTER (s = 'warning') AS warning, count(*) FILTER (s = 'info') AS info, count(DISTINCT c) AS checks FROM f GROUP BY o_custkey""")
+WITH f AS (SELECT o_custkey, CASE WHEN o_totalprice > 400000 THEN 'critical' WHEN o_totalprice > 200000 THEN 'warning' ELSE 'info' END AS s, o_orderpriority AS c FROM orders),
+k AS (SELECT o_custkey, c, count(*) FILTER (s = 'critical') AS a, count(*) FILTER (s = 'warning') AS b, count(*) FILTER (s = 'info') AS d FROM f GROUP BY o_custkey, c)
+SELECT o_custkey, CASE WHEN sum(a) > 0 THEN 'critical' WHEN sum(b) > 0 THEN 'warning' ELSE 'info' END AS overall, CAST(sum(a + b + d) AS BIGINT) AS total,
+CAST(sum(a) AS BIGINT) AS critical, CAST(sum(b) AS BIGINT) AS warning, CAST(sum(d) AS BIGINT) AS info, string_agg(c || ':' || a || '/' || b || '/' || d, ';' ORDER BY c) AS checks FROM k GROUP BY o_custkey""")
 def q_findings(spark, sf_dir):
     p = F.col("o_totalprice")
-    rows = T(spark, sf_dir, "orders").select("o_custkey", F.when(p > 400000, "critical").when(p > 300000, "error").when(p > 200000, "warning").otherwise("info").alias("s"), "o_orderpriority")
-    return assembly.findings(rows, ["o_custkey"], "s", "o_orderpriority")
+    rows = T(spark, sf_dir, "orders").select("o_custkey", F.when(p > 400000, "critical").when(p > 200000, "warning").otherwise("info").alias("s"), "o_orderpriority")
+    entry = F.transform(F.map_entries("checks"), lambda e: F.concat(e["key"], F.lit(":"), F.concat_ws("/", *(e["value"][s].cast("string") for s in assembly.SEVERITIES))))
+    return assembly.findings(rows, ["o_custkey"], "s", "o_orderpriority").withColumn("checks", F.array_join(F.array_sort(entry), ";"))
 
 
 @query("q_reward", """

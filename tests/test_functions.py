@@ -32,11 +32,48 @@ def test_entity(spark):
     assert one(spark, tx.parse_entity(F.lit("no entity")))["id"] is None
 
 
-@pytest.mark.parametrize("text,want", [("Q: what is it", "what is it?"), ("3. How?", "How?"), ("plain.", "plain?"), ("", "")])
+@pytest.mark.parametrize("text,want", [("Q: what is it", "what is it?"), ("3. How long?", "3. How long?"), ("plain text.", "plain text.?"), ("", None), ("short", None), (" question: generated QUESTION:  why so long\n", "why so long?")])
 def test_clean_question(spark, text, want):
     assert one(spark, tx.clean_question(F.lit(text))) == want
 
 
+def test_clean_answer(spark):
+    assert one(spark, tx.clean_answer(F.lit(" Answer: A: Based on the context, it is. "))) == "it is."
+    assert one(spark, tx.clean_answer(F.lit(None).cast("string"))) == ""
+
+
+def test_critique_fields(spark):
+    for text, want in [("RATING: about 4", (4, None, None)), ("rating: -3\nEVALUATION:\n a\n\n b", (3, "\na\nb", None)), ("SUGGESTIONS: x\ny\nRATING: 0", (1, None, "x\ny")), ("no field\nRATING: none", (None, None, None))]:
+        r = one(spark, tx.parse_critique(F.lit(text)))
+        assert (r["rating"], r["evaluation"], r["suggestions"]) == want
+
+
+def test_step_tokens(spark):
+    text = "#1=CARTESIAN_POINT('a',(-1.5E-3,+2.,.T.),$,*);[CLS] .B2."
+    assert one(spark, tx.step_tokens(F.lit(text))) == ["#1", "=", "CARTESIAN_POINT", "(", "'a'", ",", "(", "-1.5E-3", ",", "2.", ",", ".T.", ")", ",", "$", ",", "*", ")", ";", "[CLS]", "B2"]
+
+
+def test_ids_to_text(spark):
+    vocab = F.create_map(F.lit("A"), F.lit(5).cast("long"), F.lit("="), F.lit(6).cast("long"))
+    ids = tx.encode_tokens(F.array(F.lit("A"), F.lit("="), F.lit("zz")), vocab, 4)
+    assert one(spark, tx.decode_tokens(ids, vocab)) == "A = <UNK>"
+
+
+def test_stable_hash_and_floats(spark):
+    import hashlib
+
+    want = int.from_bytes(hashlib.blake2b(b"face", digest_size=8).digest(), "big")
+    assert int(one(spark, tx.stable_hash(F.lit("face")))) == want and one(spark, tx.stable_hash(F.lit("face"), 1000)) == want % 1000
+    assert one(spark, tx.normal_floats(F.lit("(1.50000,2.,-3.14159265,.5E-9,7)"))) == "(1.5,2.0,-3.14159,5e-10,7)"
+
+
+def test_code_hashes(spark):
+    import hashlib
+
+    r = one(spark, tx.code_hashes(F.lit("f"), F.array(F.lit("a"), F.lit("b")), F.lit("\n".join(map(str, range(20))))))
+    assert r["sig_hash"] == hashlib.md5(b"f(a, b)").hexdigest()[:8] and r["body_hash"] == hashlib.md5("\n".join(map(str, range(10))).encode()).hexdigest()[:8]
+
+
 def test_critique(spark):
     r = one(spark, tx.parse_critique(F.lit("RATING: 9\nEVALUATION: fine\nreally\nSUGGESTIONS: none")))
     assert (r["rating"], r["evaluation"], r["suggestions"]) == (5, "fine\nreally", None)

@@ -28,7 +28,7 @@ def test_rewrite(spark, entities):
 
 def test_importance(entities):
     got = {r["id"]: r["importance"] for r in topology.importance(entities, {"CLOSED_SHELL": 1.0}).collect()}
-    assert abs(got[2] - (0.5 + 0.3 + 0.1)) < 1e-9
+    assert abs(got[2] - (0.5 + 0.3 * (0.6 / 2 + 0.4) + 0.1)) < 1e-9 and abs(got[4] - (0.5 * 0.4 + 0.3 * 0.6 + 0.1)) < 1e-9
 
 
 def test_dfs_and_subtrees(spark, entities):
