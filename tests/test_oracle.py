@@ -6,7 +6,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from lodemill.plans import queries_core, queries_geometry, queries_more, queries_select, registry  # noqa: F401
+from lodemill.plans import queries_commands, queries_core, queries_geometry, queries_more, queries_select, registry  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
