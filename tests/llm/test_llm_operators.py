@@ -605,6 +605,44 @@ def test_without_repeats(spark, docs, empty):
     assert got == [("4", t), ("4", t), ("5", "é" * 30), ("6", ""), ("None", t)]
 
 
+def test_anchors_are_dealt_evenly():
+    b = np.random.default_rng(3).integers(97, 123, 300_000).astype(np.uint8)
+    h = suffix_dedup.anchors(b, np.array([0, len(b)]))[0]
+    share = np.bincount((h // np.uint64((1 << 64) // 50 + 1)).astype(int), minlength=50) / len(h)
+    assert share.max() < 0.03 and share.min() > 0.01
+
+
+def test_passages_of_one_anchor_above_an_array(spark, monkeypatch):
+    """Many different passages around one phrase: no suffix array above ARRAY bytes, no batch part above PASSAGES, no string lost."""
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("ab") for _ in range(3)) * 6 + " the one common phrase of all " + "".join(rng.choice("ab") for _ in range(2)) * 8) for i in range(400)]
+    rows += [(1000, "x" * 3000), (1001, "x" * 2000)]
+    monkeypatch.setattr(suffix_dedup, "ARRAY", 2000)
+    monkeypatch.setattr(suffix_dedup, "PASSAGES", 5000)
+    inner, seen = suffix_dedup.lost_strings, []
+    monkeypatch.setattr(suffix_dedup, "lost_strings", lambda t, end, doc: seen.append(len(t)) or inner(t, end, doc))
+    want = brute_removed(rows)
+    key, doc, start, raw = [], [], [], []
+    for i, t in rows:
+        h, _, first, last = suffix_dedup.anchors(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        for k, lo, hi in zip(h, first, last + suffix_dedup.LENGTH):
+            key, doc, start, raw = [*key, k], [*doc, i], [*start, lo], [*raw, t.encode()[lo:hi]]
+    size = np.array([len(x) for x in raw])
+    order = np.argsort(np.array(key, np.uint64), kind="stable")
+    off = np.cumsum(size) - size
+    out = {i: np.zeros(len(t), bool) for i, t in rows}
+    for d, lo, hi in suffix_dedup._lost(np.array(key, np.uint64)[order], np.array(doc)[order], np.array(start)[order], size[order], off[order], np.frombuffer(b"".join(raw), np.uint8)):
+        for i, a, z in zip(d.tolist(), lo.tolist(), hi.tolist()):
+            out[i][a:z] = True
+    assert all((out[i] == gone).all() for i, (_, gone) in want.items()) and sum(g.sum() for _, g in want.values()) > 3000
+    assert max(seen, default=0) <= 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (256, 2):
+        for r in suffix_dedup.with_spans(docs, ["doc_id"], hot).collect():
+            raw, gone = want[r["doc_id"]]
+            assert suffix_dedup._kept(raw, r["removed"])[0] == np.frombuffer(raw, np.uint8)[~gone].tobytes()
+
+
 def test_suffix_arrays_and_prefixes():
     rng = random.Random(1)
     for k in range(40):
