@@ -28,14 +28,7 @@ def q_novelty(spark, sf_dir):
 WITH {_HALVES} SELECT round((SELECT avg(exp(-(list_distance(p.v, q.v) ** 2) / 2)) FROM a p, a q) + (SELECT avg(exp(-(list_distance(p.v, q.v) ** 2) / 2)) FROM b p, b q) - 2 * (SELECT avg(exp(-(list_distance(p.v, q.v) ** 2) / 2)) FROM a p, b q), 6) AS mmd""")
 def q_kernel_mmd(spark, sf_dir):
     a, b = _halves(spark, sf_dir)
-    blocks = 16
-
-    def mean(x, y):
-        left = x.select(F.col("v").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k"))
-        right = y.select(F.col("v").alias("y"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("k"))
-        return left.join(right, "k").agg(F.avg(F.exp(-vec.distance2("x", "y") / 2)).alias("m"))
-
-    parts = [mean(x, y).select(F.lit(i).alias("i"), "m") for i, (x, y) in enumerate(((a, a), (b, b), (a, b)))]
+    parts = [metrics.kernel_mean(x, y).select(F.lit(i).alias("i"), "m") for i, (x, y) in enumerate(((a, a), (b, b), (a, b)))]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return rows.agg(F.round(F.sum(F.when(F.col("i") < 2, F.col("m")).otherwise(-2 * F.col("m"))), 6).alias("mmd"))
 
