@@ -38,11 +38,7 @@ WITH k AS (SELECT label, id, d FROM (SELECT p.label, p.id, list_distance(p.v, q.
 m AS (SELECT label, id, avg(d) AS d FROM k GROUP BY label, id), s AS (SELECT label, avg(d) + 2 * stddev_pop(d) AS cut FROM m GROUP BY label)
 SELECT label, count(*) AS n, count(*) FILTER (d > cut) AS outliers FROM m JOIN s USING (label) GROUP BY label""")
 def q_knn_outliers(spark, sf_dir):
-    rows = _vectors(spark, sf_dir)
-    a, b = rows.select("label", "id", F.col("v").alias("x")), rows.select("label", F.col("id").alias("other"), F.col("v").alias("y"))
-    pairs = a.join(b, "label").where("id <> other").select("label", "id", "other", F.sqrt(vec.distance2("x", "y")).alias("d"))
-    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where("r <= 8")
-    m = near.groupBy("label", "id").agg(F.avg("d").alias("d"))
+    m = metrics.nearest_mean(_vectors(spark, sf_dir), 8)
     cut = m.groupBy("label").agg((F.avg("d") + 2 * F.stddev_pop("d")).alias("cut"))
     return m.join(cut, "label").groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("d") > F.col("cut")).alias("outliers"))
 

@@ -32,3 +32,22 @@ def test_kernel_mean(spark, monkeypatch):
         want = [math.exp(-x * x / 2) for x in d if x is not None]
         got = metrics.kernel_mean(df.where(f"label = {p}"), df.where(f"label = {q}")).first()["m"]
         assert (got is None) == (not want) and (not want or abs(got - sum(want) / len(want)) < 1e-9)
+
+
+def test_nearest_mean(spark, monkeypatch):
+    monkeypatch.setattr(metrics._block_pairs, "__defaults__", ((), 40))
+    rows = vectors() + [(0, 500, [0.5] * 5), (0, 500, [0.6] * 5), (1, 501, [1e3] * 5), (2, 501, [2e3] * 5)]  # ids that are no keys
+    want = {}
+    for label, i, v in rows:
+        found = [(distance(v, b[2]), b[1]) for b in rows if None not in (i, label, b[1]) and b[0] == label and b[1] != i]
+        if found:
+            want.setdefault(i, []).extend((label, *x) for x in found)
+    mean = {}
+    for i, found in want.items():
+        found.sort(key=lambda x: (x[1] is None, x[1] or 0.0, x[2]))
+        for label in {x[0] for x in found[:8]}:
+            d = [x[1] for x in found[:8] if x[0] == label and x[1] is not None]
+            mean[label, i] = sum(d) / len(d) if d else None
+    got = {(r["label"], r["id"]): r["d"] for r in metrics.nearest_mean(spark.createDataFrame(rows, ROWS), 8).collect()}
+    assert got.keys() == mean.keys()
+    assert all(d == mean[k] or abs(d - mean[k]) <= 1e-12 * mean[k] for k, d in got.items())
