@@ -108,15 +108,151 @@ def ball_neighbours(points: DataFrame, id_: str, axes: list[str], radius: float,
     return lists.select("a_id", F.concat("near", F.array_repeat(F.col("near")[0], F.lit(fan_out) - F.size("near"))).alias("near"))
 
 
+#: Cells of an axis that one task of density_clusters looks at, its surroundings aside.
+TILE = 16
+
+
+def _tile_clusters(n_axes: int, radius: float, min_points: int, reach: int, tile: int, chunk: int = 1 << 20):
+    """For one tile with its surroundings: core points with their cell's node, links of nodes, border points."""
+
+    def run(table):
+        from itertools import product
+
+        import numpy as np
+        import pyarrow as pa
+
+        ids = table["id"].to_numpy()
+        x = np.stack([table[f"x{k}"].to_numpy() for k in range(n_axes)], 1)
+        c = np.stack([table[f"c{k}"].to_numpy() for k in range(n_axes)], 1)
+        order = np.lexsort((ids, *c.T[::-1]))
+        ids, x, c = ids[order], x[order], c[order]
+        new = np.concatenate(([True], (c[1:] != c[:-1]).any(1)))
+        first = np.flatnonzero(new)
+        count = np.diff(np.concatenate((first, [len(ids)])))
+        cell_of = np.cumsum(new) - 1
+        low, high = np.minimum.reduceat(x, first), np.maximum.reduceat(x, first)
+        if (np.sqrt(((high - low) ** 2).sum(1)) > radius).any():
+            raise ValueError("coordinates are too large for cells of this radius")
+        cells = c[first]
+        base = cells.min(0) - reach
+        width = cells.max(0) + reach + 1 - base
+        place = np.zeros(len(cells), np.int64)
+        for k in range(n_axes):
+            place = place * width[k] + cells[:, k] - base[k]
+        corner = np.array([table[f"t{k}"][0].as_py() for k in range(n_axes)]) * tile
+        far = np.maximum(np.maximum(corner - cells, cells - (corner + tile - 1)), 0).max(1)  # cells away from the tile
+        offsets = sorted(product(range(-reach, reach + 1), repeat=n_axes), key=lambda o: sum(v * v for v in o))
+
+        def beside(at, offset):
+            to = place[at]
+            step = 0
+            for k in range(n_axes):
+                step = step * width[k] + offset[k]
+            other = np.minimum(np.searchsorted(place, to + step), len(place) - 1)
+            return other, place[other] == to + step
+
+        def spans(lo, size):
+            """(row, place) of all of lo[i] .. lo[i] + size[i] - 1, about ``chunk`` at a time."""
+            i, ends = 0, np.cumsum(size)
+            while i < len(lo):
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + chunk, "right")))
+                n = size[i:j]
+                row = np.repeat(np.arange(i, j), n)
+                yield row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[i:j], n)
+                i = j
+
+        def near(p, q):
+            return np.sqrt(((x[p] - x[q]) ** 2).sum(1)) <= radius
+
+        core = (count >= min_points)[cell_of]  # a cell is so small that its points are near each other
+        todo, found = np.flatnonzero(~core & (far <= reach)[cell_of]), np.zeros(len(ids), np.int64)
+        for o in offsets:
+            other, there = beside(cell_of[todo], o)
+            asking, other = todo[there], other[there]
+            for row, q in spans(first[other], count[other]):
+                hit = near(asking[row], q)
+                np.add.at(found, asking[row[hit]], 1)
+            todo = todo[found[todo] < min_points]
+        core |= found >= min_points
+        own = (far == 0)[cell_of]
+        # cores before the others in each cell
+        order = np.lexsort((ids, ~core, cell_of))
+        ids, x, core, own = ids[order], x[order], core[order], own[order]
+        cores = np.add.reduceat(core.astype(np.int64), first)
+        node = ids[first]  # the smallest core, if there is one
+        out = [(ids[core & own], node[cell_of[core & own]], 0)]
+        border = np.flatnonzero(~core & own)
+        parent = np.arange(len(cells))
+
+        def root(a):
+            while (parent[a] != parent[parent[a]]).any():
+                parent[:] = parent[parent]
+            return parent[a]
+
+        def joined(a, b):
+            out.append((node[a], node[b], 1))
+            while True:
+                ra, rb = root(a), root(b)
+                if (ra == rb).all():
+                    return
+                np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+
+        def to_box(points, cell):
+            return np.sqrt((np.maximum(np.maximum(low[cell] - x[points], x[points] - high[cell]), 0) ** 2).sum(1)) <= radius
+
+        for o in offsets:
+            other, there = beside(cell_of[border], o)
+            asking, other = border[there], other[there]
+            for row, q in spans(first[other], cores[other]):
+                hit = near(asking[row], q)
+                out.append((ids[asking[row[hit]]], node[cell_of[q[hit]]], 2))
+            if o <= (0,) * n_axes:
+                continue
+            a = np.flatnonzero((far == 0) & (cores > 0))
+            b, there = beside(a, o)
+            there &= cores[b] > 0
+            a, b = a[there], b[there]
+            for most in (8, len(ids)):  # of most cells that touch, some of any few points are near
+                apart = root(a) != root(b)
+                a, b = a[apart], b[apart]
+                met = np.zeros(len(a), bool)
+                for pair, p in spans(first[a], np.minimum(cores[a], most)):
+                    close = to_box(p, b[pair]) & ~met[pair]
+                    pair, p = pair[close], p[close]
+                    for row, q in spans(first[b[pair]], np.minimum(cores[b[pair]], most)):
+                        met[pair[row[near(p[row], q)]]] = True
+                joined(a[met], b[met])
+                a, b = a[~met], b[~met]
+        cols = [np.concatenate([r[0] for r in out]), np.concatenate([r[1] for r in out]), np.concatenate([np.full(len(r[0]), r[2]) for r in out])]
+        return pa.table({"a": cols[0].astype(np.int64), "b": cols[1].astype(np.int64), "kind": cols[2].astype(np.int32)})
+
+    return run
+
+
 def density_clusters(points: DataFrame, id_: str, axes: list[str], radius: float, min_points: int) -> DataFrame:
     """(id, cluster) by density: core points have ``min_points`` within ``radius``, themselves included;
     clusters are components of near cores, named by their smallest core; border points take the
-    smallest cluster near them; the rest is noise, -1."""
-    near = checkpointed(both_ways(point_pairs(points, id_, axes, radius)).select("a_id", "b_id"))
-    core = checkpointed(points.select(F.col(id_).alias("a_id")).join(near, "a_id", "left").groupBy("a_id").agg((F.count("b_id") + 1).alias("n")).where(F.col("n") >= min_points).select(F.col("a_id").alias("core")))
-    links = near.join(core, F.col("a_id") == F.col("core"), "left_semi").join(core, F.col("b_id") == F.col("core"), "left_semi")
-    own = core.select(F.col("core").alias("a_id"), F.col("core").alias("b_id"))
-    label = checkpointed(connected_components(links.unionByName(own), "a_id", "b_id"))
-    border = near.join(label, F.col("b_id") == F.col("node")).join(core, F.col("a_id") == F.col("core"), "left_anti").groupBy(F.col("a_id").alias("node")).agg(F.min("component").alias("component"))
-    found = label.unionByName(border)
-    return points.select(F.col(id_).alias("node")).join(found, "node", "left").select(F.col("node").alias(id_), F.coalesce("component", F.lit(-1)).alias("cluster"))
+    smallest cluster near them; the rest is noise, -1. Ids are whole numbers, one for each point.
+
+    Pairs are not made: points of a cell whose diagonal is below ``radius`` are near each other, so a cell
+    with ``min_points`` has cores only, and two cells are linked by their first near cores. A point
+    without finite coordinates is near itself alone.
+    """
+    n = len(axes)
+    size = radius / n**0.5 * (1 - 1e-6)
+    reach = int(radius // size) + 1
+    usable = _all([F.coalesce(F.abs(F.col(a).cast("double")) < float("inf"), F.lit(False)) for a in axes])
+    at = points.where(usable & F.col(id_).isNotNull()).select(F.col(id_).cast("long").alias("id"), *(F.col(a).cast("double").alias(f"x{k}") for k, a in enumerate(axes)))
+    at = at.select("*", *(cell(f"x{k}", size).alias(f"c{k}") for k in range(n)))
+    for k in range(n):
+        at = at.withColumn(f"t{k}", F.explode(F.sequence(F.floor((F.col(f"c{k}") - 2 * reach) / TILE), F.floor((F.col(f"c{k}") + 2 * reach) / TILE))))
+    tiles = [f"t{k}" for k in range(n)]
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    run = _tile_clusters(n, float(radius), min_points, reach, TILE)
+    found = checkpointed(at.repartition(parts, *tiles).groupBy(*tiles).applyInArrow(run, "a long, b long, kind int"))
+    links = found.where("kind = 1").select("a", "b").unionByName(found.where("kind = 0").select(F.col("b").alias("a"), "b").distinct())
+    label = checkpointed(connected_components(links, "a", "b"))
+    cluster = found.where("kind <> 1").join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("component"))
+    own = points.select(F.col(id_), usable.alias("usable"))
+    alone = F.when(~F.col("usable") & F.lit(min_points <= 1), F.col(id_))
+    return own.join(cluster, F.col(id_) == F.col("a"), "left").select(id_, F.coalesce("component", alone, F.lit(-1)).alias("cluster"))

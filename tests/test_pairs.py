@@ -3,8 +3,9 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from lodemill.operators import metrics
+from lodemill.operators import metrics, spatial
 
 ROWS = "label int, id long, v array<double>"
 
@@ -51,3 +52,40 @@ def test_nearest_mean(spark, monkeypatch):
     got = {(r["label"], r["id"]): r["d"] for r in metrics.nearest_mean(spark.createDataFrame(rows, ROWS), 8).collect()}
     assert got.keys() == mean.keys()
     assert all(d == mean[k] or abs(d - mean[k]) <= 1e-12 * mean[k] for k, d in got.items())
+
+
+def brute_clusters(rows, radius, least):
+    x = np.array([[np.nan if v is None else v for v in r[1:]] for r in rows], float)
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= radius
+    np.fill_diagonal(near, True)
+    core = near.sum(1) >= least
+    label = np.array([r[0] if c else 10**9 for r, c in zip(rows, core)])
+    while True:
+        low = np.where(near & core[:, None] & core, label, 10**9).min(1)
+        if (low == label)[core].all():
+            break
+        label = np.where(core, low, label)
+    border = np.where(near & core, label, 10**9).min(1)
+    return {r[0]: int(label[i] if core[i] else -1 if border[i] == 10**9 else border[i]) for i, r in enumerate(rows)}
+
+
+def test_density_clusters(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "point_pairs", None)  # pairs are not made
+    rng = np.random.default_rng(8)
+    for n, tile, sizes in ((2, 16, (300, 40.0)), (2, 3, (500, 30.0)), (3, 4, (400, 14.0)), (1, 5, (200, 300.0))):
+        monkeypatch.setattr(spatial, "TILE", tile)
+        flat = rng.uniform(-sizes[1], sizes[1], (sizes[0], n)).round(1).tolist() + rng.normal(5, 1, (60, n)).tolist() + np.round(rng.normal(-6, 3, (60, n))).tolist()
+        flat += [[None] + [0.0] * (n - 1), [math.nan] * n, [math.inf] * n]
+        ids = rng.permutation(len(flat)).tolist()
+        rows = [(i, *v) for i, v in zip(ids, flat)]
+        axes = ["x", "y", "z"][:n]
+        df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{a} double" for a in axes))
+        for radius, least in ((3.0, 4), (1.0, 2)) if n == 2 else ((3.0, 4),):
+            got = {r["id"]: r["cluster"] for r in spatial.density_clusters(df, "id", axes, radius, least).collect()}
+            want = brute_clusters(rows, radius, least)
+            assert got == want and len(set(want.values())) > 3
+    one = spark.createDataFrame([(5, 0.0), (7, None)], "id long, x double")
+    assert {tuple(r) for r in spatial.density_clusters(one, "id", ["x"], 1.0, 1).collect()} == {(5, 5), (7, 7)}
+    assert spatial.density_clusters(one.where("id < 0"), "id", ["x"], 1.0, 1).count() == 0
+    dense = spark.range(200_000).select("id", (F.col("id") % 977 / 1000.0).alias("x"), (F.col("id") % 3).cast("double").alias("y"))
+    assert [tuple(r) for r in spatial.density_clusters(dense, "id", ["x", "y"], 1.5, 4).groupBy("cluster").count().collect()] == [(0, 200_000)]
