@@ -564,6 +564,13 @@ def test_classifier(spark, empty):
     assert all(r["kept"] for r in alone)
 
 
+def test_lm_passes_do_not_depend_on_size(docs, monkeypatch):
+    merged, calls = lm_mixing.Mixer.merged, []
+    monkeypatch.setattr(lm_mixing.Mixer, "merged", lambda self, total: calls.append(len(total)) or merged(self, total))
+    lm_mixing.scored(docs.select("doc_id", "text")).count()
+    assert len(calls) == 2 * len(lm_mixing.RATES)  # the words' mixer and the bytes', once a pass
+
+
 # -------------------------------------------------------------------------------- 6: suffix arrays
 
 
