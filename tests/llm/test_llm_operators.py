@@ -472,6 +472,28 @@ def test_probabilities_add_up(trained):
     assert abs(total - 1) < 2e-3
 
 
+def test_decisions_end_where_contexts_know_no_more(trained):
+    model, tok = trained
+    b, off = packed_texts([" ".join(w for w in t if w) for t in tok[:30]])
+    w = lm_mixing.Words(model.vocabulary, model.counts, b, off, False)
+    repeats, whole = w.repeats(), slice(0, len(w.ids))
+    size, of, x, _, _, _, left = model.inputs(w, whole, repeats, False)
+    assert len(of) == size.sum() == len(x[0])
+    knows = [model._known(order, w, whole, None, repeats[1]) for order in (0, 1)]
+    for i, sym in enumerate(w.ids.tolist()):
+        expected = {int(who[k, i]) for who, _, n, _ in knows for k in range(len(who)) if n[k, i] > 0} | ({int(repeats[2][i])} - {-1})
+        code = format(model.code.code[sym], f"0{model.code.size[sym]}b")
+        others = [format(model.code.code[j], f"0{model.code.size[j]}b") for j in expected]
+        passing = [sum(c.startswith(code[:d]) for c in others) for d in range(len(code))]
+        assert size[i] == sum(n > 1 for n in passing) + (1 in passing)
+        if not expected:
+            assert abs(left[i] - model.code.whole[sym]) < 1e-9
+    every, none = np.arange(len(model.code.size)), np.zeros(len(model.code.size), np.int64)
+    _, bit, node, n, _, of = model.code.expand(every)
+    by_bits = np.bincount(of, np.log2(np.where(bit > 0, model.code.one[node], 1 - model.code.one[node])))
+    assert np.allclose(model.code.rest(every, none), by_bits) and not model.code.rest(every, n).any() and abs(np.exp2(by_bits).sum() - 1) < 1e-9
+
+
 def test_code_is_a_prefix_code():
     rng = np.random.default_rng(3)
     for n in (2, 3, 50, 700):
