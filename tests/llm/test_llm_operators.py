@@ -718,6 +718,31 @@ def test_pieces_of_more_than_65536_ids(ids):
             assert got[off[i] : off[i + 1]].tolist() == want
 
 
+def test_new_pieces_are_encoded_many_at_once():
+    from tokenizers import Tokenizer
+
+    class Counting:
+        def __init__(self, own):
+            self.own, self.given = own, 0
+
+        def encode_batch_fast(self, texts, **kw):
+            self.given += len(texts)
+            return self.own.encode_batch_fast(texts, **kw)
+
+    rng = random.Random(8)
+    many = " ".join(f"w{i}x{rng.random()}" for i in range(4000))
+    odd = ["foo\t", "\tfoo it's", "a\nb\n", "\n", " ", "a\0b \0 c", "\u2003x y\u2003", "caf\u00e9\u00a0z \u4e2d\u6587 d", "x\x1cy z\x1c", "a  b", "it's 12,000's", "\u0085q", "", None, "end "]
+    t = Tokenizer.from_file(bpe.default_path())
+    t.encode_special_tokens = True
+    own = bpe.Encoder(bpe.default_path())
+    own.tokenizer = Counting(own.tokenizer)
+    for texts in ([many, many, *odd], [*odd, many[::-1]], [many]):
+        ids, off = own.encode(texts, 0)
+        for text, a, z in zip(texts, off[:-1], off[1:]):
+            assert ids[a:z].tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 0]
+    assert own.tokenizer.given < 8000 / 64 + 100
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files(spark, docs, empty, tmp_path, ids, encoding):
     import pyarrow.parquet as pq
